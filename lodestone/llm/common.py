@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,5 +72,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, label) of at most ``per_class`` rows of labels 0 and 1 each, in the order of a hash of their key, of
+    those where ``learn`` holds. The keys are at most twice ``per_class``, which bounds what is broadcast."""
+    mine = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).select(key, label)
+    first = [mine.where(F.col(label) == c).orderBy(F.xxhash64(key), key).limit(per_class) for c in (0, 1)]
+    return docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(first[0].unionByName(first[1])), key)
+
+
+def one_in(key: str, parts: int, rest: int) -> Column:
+    """Whether crc32 of the key as text leaves ``rest``; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
