@@ -158,7 +158,9 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None =
         return []
     files = max(1, min(FILES, -(-rows // ROWS_PER_FILE)))
     cuts = df.agg(F.percentile_approx(key, [i / files for i in range(1, files)], 20 * files)).first()[0] or [] if files > 1 else []
-    first = df.orderBy(F.xxhash64(key), key).limit(FIT_ROWS)
+    # Keys of small hashes, some multiple of FIT_ROWS of them whatever the number of rows and of tasks.
+    few = F.pmod(F.xxhash64(key), F.lit(1 << 40)) <= int((1 << 40) * min(1.0, 4 * FIT_ROWS / rows))
+    first = df.where(few).orderBy(F.xxhash64(key), key).limit(FIT_ROWS)
     fitted = map_rows(first, [text], "ids binary", lambda: (lambda words: lambda value: [(words.encode(value or "") + tail,)])(_words(sent.value, width)))
     dictionary = _dictionary(sorted(bytes(r.ids) for r in fitted.toLocalIterator()))
     digest = hashlib.sha256(dictionary).digest()
