@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Entries of a word cache and of the pair memo, after which it starts anew; this bounds a worker's memory.
-CACHE_WORDS, CACHE_PAIRS, CACHE_STEMS = 250_000, 200_000, 100_000
+#: Entries of the caches of words, pieces, pairs and stems, after which it starts anew; this bounds a worker's memory.
+CACHE_WORDS, CACHE_PIECES, CACHE_PAIRS, CACHE_STEMS = 150_000, 120_000, 100_000, 30_000
 #: Bytes of a piece whose table is kept for the pieces that start alike.
 STEM = 6
 
@@ -175,7 +175,7 @@ class _Pieces(dict):
         token = self.vocabulary.ranks.get(data)
         ids = [token] if token is not None else self.table(data).tokens()
         packed = array("I", ids).tobytes()
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_PIECES:
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed

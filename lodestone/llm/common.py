@@ -12,14 +12,22 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows turned into Python objects at once, and bytes of output held back at most (one row may be longer).
-ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 16 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
+#: What a session's Arrow batches are brought down to: rows, bytes. The defaults hold up to 64 MB several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Rows of ``schema`` that ``make()`` yields for each row of ``columns``.
 
     ``make`` runs once a task, on the executor. Rows go through in small slices, so that memory depends on the longest
-    row and not on the partition. Columns are selected by name and renamed, so others of the frame can't clash."""
+    row and not on the partition; for that the session's Arrow batches are brought down to BATCH, and stay so. Columns
+    are selected by name and renamed, so others of the frame can't clash."""
+    conf = df.sparkSession.conf
+    for name, most in BATCH.items():
+        now = conf.get(name).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     picked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
 
