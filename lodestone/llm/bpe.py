@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-#: Entries of the caches of words, pieces, pairs and stems, after which it starts anew; this bounds a worker's memory.
-CACHE_WORDS, CACHE_PIECES, CACHE_PAIRS, CACHE_STEMS = 150_000, 120_000, 100_000, 30_000
+#: Entries of the caches of words and pieces a generation, of pairs and of stems; they bound a worker's memory.
+CACHE_WORDS, CACHE_PIECES, CACHE_PAIRS, CACHE_STEMS = 110_000, 80_000, 150_000, 60_000
 #: Bytes of a piece whose table is kept for the pieces that start alike.
 STEM = 6
 
@@ -153,9 +153,30 @@ class PrefixTable:
         return out[::-1]
 
 
-class _Pieces(dict):
+class _Kept(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one, and what is asked for
+    again comes back from there, so that frequent words stay."""
+
+    most = 0
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def keep(self, name: str, value: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(name) <= 64:
+            self[name] = value
+        return value
+
+
+class _Pieces(_Kept):
     """Piece -> its ids as little-endian unsigned 32-bit integers."""
 
+    most = CACHE_PIECES
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
@@ -171,38 +192,36 @@ class _Pieces(dict):
         return PrefixTable(self.vocabulary, data, known)
 
     def __missing__(self, piece: str) -> bytes:
+        if (known := self.old.get(piece)) is not None:
+            return self.keep(piece, known)
         data = piece.encode()
         token = self.vocabulary.ranks.get(data)
         ids = [token] if token is not None else self.table(data).tokens()
         packed = array("I", ids).tobytes()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
+        return self.keep(piece, packed)
 
 
 class _Irregular(Exception):
     """White space beside a space: where the pattern cuts depends on more than the word."""
 
 
-class _Words(dict):
+class _Words(_Kept):
     """Word -> the ids of a space and the word. The pattern always cuts before a single space between two other
     characters, so such words can be encoded apart from each other."""
 
+    most = CACHE_WORDS
+
     def __init__(self, pieces: _Pieces, pattern: regex.Pattern):
         super().__init__()
         self.pieces, self.pattern = pieces, pattern
 
     def __missing__(self, word: str) -> bytes:
+        if (known := self.old.get(word)) is not None:
+            return self.keep(word, known)
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Irregular
         packed = b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + word)))
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
+        return self.keep(word, packed)
 
 
 class Codec:
