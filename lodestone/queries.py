@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage: importing the modules of lodestone.plans registers them."""
 
 from lodestone.catalog import ORACLE_SQL, QUERIES
-from lodestone.plans import entity
+from lodestone.plans import entity, mend
 
-__all__ = ["ORACLE_SQL", "QUERIES", "entity"]
+__all__ = ["ORACLE_SQL", "QUERIES", "entity", "mend"]
