@@ -119,3 +119,28 @@ def shrink_target() -> tuple[Column, Column]:
     new_bits = F.when(has(PADDED) & F.col("effective_bits").between(1, 16), 16).otherwise(bits)
     fit = (F.col("format") == "FLAC") & (F.col("deep_version") > 0) & ~has(DAMAGED) & F.col("channels").between(1, 8) & has(UPSAMPLED | PADDED) & ((new_rate != rate) | (new_bits != bits))
     return F.when(fit, new_rate), F.when(fit, new_bits)
+
+
+def md5_match(told: Column, decoded: Column) -> Column:
+    """-1 for an unknown signature, 1 for an equal one, else 0."""
+    return F.when(told.isNull(), -1).when(told.eqNullSafe(decoded), 1).otherwise(0)
+
+
+def route(format: Column) -> Column:
+    """What decodes a format, null for nothing."""
+    kinds = {"flac": ["FLAC"], "pcm": ["WAV", "AIFF"], "codec": "MP3 AAC ALAC M4A OGG OPUS".split()}
+    out = None
+    for name, formats in kinds.items():
+        out = F.when(format.isin(formats), name) if out is None else out.when(format.isin(formats), name)
+    return out
+
+
+def ago_label(ms: Column) -> Column:
+    m = F.floor(ms / 60_000)
+    said = lambda n, word: F.concat(F.floor(n).cast("string"), F.lit(f" {word}"))
+    return F.when(m < 1, "just now").when(m < 60, said(m, "min")).when(m < 2880, said(m / 60, "h")).otherwise(said(m / 1440, "days"))
+
+
+def eta(done: Column, left: Column, elapsed_ms: Column) -> Column:
+    """Milliseconds that the bytes left will take, null in the first 20 seconds."""
+    return F.when((elapsed_ms >= 20_000) & (done > 0), left * (elapsed_ms / F.nullif(done, F.lit(0))))

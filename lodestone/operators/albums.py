@@ -86,3 +86,29 @@ def ordered(tracks: DataFrame) -> DataFrame:
     """(folder, id, place): disc, number and file name give the place; albums are bounded by their folder."""
     order = Window.partitionBy("folder").orderBy("disc", "track", F.lower(fn.file_name()), "id")
     return tracks.select("folder", "id", F.row_number().over(order).alias("place"))
+
+
+def badges(tracks: DataFrame, most: int = 3) -> DataFrame:
+    """(folder, issue, count): the first three findings of an album that are open, "all" where every track has it."""
+    order = F.create_map(*[x for i, name in enumerate(fn.ISSUES) for x in (F.lit(name), F.lit(i))])
+    sizes = tracks.groupBy("folder").agg(F.count("*").alias("n"))
+    found = issue_counts(tracks).join(sizes, "folder").withColumn("at", order[F.col("issue")])
+    listed = found.groupBy("folder").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "issue", F.when(F.col("open") == F.col("n"), "all").otherwise(F.col("open").cast("string")).alias("count")))), 1, most).alias("b"))
+    return listed.select("folder", F.explode("b").alias("b")).select("folder", "b.issue", "b.count")
+
+
+def by_artist(listed: DataFrame) -> DataFrame:
+    """(folder, place) by artist, title and folder, without case. Albums are placed within their artist; only one row
+    for each artist goes through one task."""
+    rows = listed.select("folder", F.lower("artist").alias("a"), F.lower("title").alias("t"))
+    distinct = rows.groupBy("a").agg(F.count("*").alias("n"))
+    started = distinct.select("a", (F.sum("n").over(Window.orderBy("a")) - F.col("n")).alias("start"))
+    return rows.join(started, "a").select("folder", (F.col("start") + F.row_number().over(Window.partitionBy("a").orderBy("t", "folder"))).alias("place"))
+
+
+def copies(tracks: DataFrame) -> DataFrame:
+    """(folder, copy): another folder with the same title and artist, without case: the least one, for that one the largest.
+    Groups are joined with their ends, not with themselves."""
+    named = tracks.groupBy("folder").agg(F.lower(F.max("album")).alias("t"), F.lower(F.max("album_artist")).alias("a")).where("t is not null and a is not null")
+    ends = named.groupBy("t", "a").agg(F.min("folder").alias("one"), F.max("folder").alias("last")).where("one <> last")
+    return named.join(ends, ["t", "a"]).select("folder", F.when(F.col("folder") == F.col("one"), F.col("last")).otherwise(F.col("one")).alias("copy"))

@@ -53,3 +53,42 @@ def relocate(tracks: DataFrame, old: str, new: str) -> DataFrame:
     under = (F.col("path") == old) | F.col("path").startswith(old + "/")
     moved = F.concat(F.lit(new), F.expr(f"substring(path, {len(old) + 1})"))
     return tracks.withColumn("quarantined", under).withColumn("path", F.when(under, moved).otherwise(F.col("path")))
+
+
+def header_update(store: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
+    """Tag columns of the ids in ``new`` replaced, their hash unknown again; other columns stay."""
+    came = new.select("id", F.lit(True).alias("_came"), *[F.col(f).alias(f"_{f}") for f in fields])
+    joined = store.join(came, "id", "left")
+    put = {f: F.when(F.col("_came"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields} | {"hash": F.when(F.col("_came").isNull(), F.col("hash"))}
+    return joined.withColumns(put).select(*store.columns)
+
+
+def deep_update(store: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
+    """Columns of the ids in ``new`` replaced, what isn't a finite number by null."""
+    finite = lambda f: F.when(~F.col(f"_{f}").isin(float("nan"), float("inf"), float("-inf")), F.col(f"_{f}")) if dict(new.dtypes)[f] in ("double", "float") else F.col(f"_{f}")
+    joined = store.join(new.select("id", F.lit(True).alias("_came"), *[F.col(f).alias(f"_{f}") for f in fields]), "id", "left")
+    return joined.withColumns({f: F.when(F.col("_came"), finite(f)).otherwise(F.col(f)) for f in fields}).select(*store.columns)
+
+
+def quarantine(tracks: DataFrame, batch, kind: int) -> DataFrame:
+    """Log entries (id, batch, original, moved, size, kind) of tracks that are set aside."""
+    return tracks.select("id", batch.alias("batch"), F.col("path").alias("original"), F.concat(F.lit("/.aside/"), batch.cast("string"), F.col("path")).alias("moved"), "size", F.lit(kind).alias("kind"))
+
+
+def restore(store: DataFrame, log: DataFrame) -> DataFrame:
+    """The store's paths with what the log moved back in its place."""
+    back = log.select(F.col("moved").alias("path"), "original").distinct()
+    return store.join(back, "path", "left").withColumn("path", F.coalesce("original", "path")).select(*store.columns)
+
+
+def emptied(store: DataFrame, log: DataFrame) -> DataFrame:
+    """The store without rows at a moved path or below one. Each row's own folders are looked up, so no row meets every entry."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    gone = store.select("path", F.explode(above).alias("moved")).join(log.select("moved").distinct(), "moved", "left_semi").select("path").distinct()
+    return store.join(gone, "path", "left_anti").select(*store.columns)
+
+
+def migrate(store: DataFrame, defaults: dict) -> DataFrame:
+    """Columns that the store lacks, with their defaults."""
+    return store.withColumns({name: F.lit(value) for name, value in defaults.items() if name not in store.columns})
