@@ -142,5 +142,5 @@ def ago_label(ms: Column) -> Column:
 
 
 def eta(done: Column, left: Column, elapsed_ms: Column) -> Column:
-    """Milliseconds that the bytes left will take, null in the first 20 seconds."""
-    return F.when((elapsed_ms >= 20_000) & (done > 0), left * (elapsed_ms / F.nullif(done, F.lit(0))))
+    """Whole milliseconds that the bytes left will take, null in the first 20 seconds."""
+    return F.when((elapsed_ms >= 20_000) & (done > 0), F.floor(left * elapsed_ms / F.nullif(done, F.lit(0))))

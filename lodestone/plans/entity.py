@@ -112,7 +112,8 @@ _PRINT = """w as (select doc_id as track, string_split(text, ' ') as ws, n_chars
 def _frames(spark, d):
     words = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("track"), F.split("text", " ", -1).alias("w")).where("size(w) > 3")
     runs = words.select("track", F.expr("transform(sequence(1, greatest(1, size(w) - 3)), i -> conv(substring(md5(cast(concat_ws(' ', slice(w, i, 4)) as binary)), 1, 8), 16, 10))").alias("h"))
-    return runs.select("track", F.posexplode("h").alias("frame", "word")).withColumn("word", F.col("word").cast("long"))
+    # posexplode() would add a filter on h, whose pushdown cuts the text anew for every run.
+    return runs.select("track", F.posexplode_outer("h").alias("frame", "word")).withColumn("word", F.col("word").cast("long"))
 
 
 def _lengths(spark, d):

@@ -54,7 +54,7 @@ add("ord_topk_loud", _BLOCKS + " select track, channel, block from (select *, ro
     lambda spark, d: signal.loudest(signal.blocks(_samples(spark, d), 16, 5)).select("track", "channel", "block")
 )
 # Changes of the store
-on_documents("sink_header_update", "select id, path, if(id % 4 = 0, upper(title), title) as title, if(id % 4 = 0, null, hash) as hash from track", lambda t: changes.header_update(t.select("id", "path", "title", "hash"), t.where("id % 4 = 0").select("id", F.upper("title").alias("title")), ["title"]))
+on_documents("sink_header_update", "select id, path, if(id % 4 = 0, 'new ' || title, title) as title, if(id % 4 = 0, null, hash) as hash from track", lambda t: changes.header_update(t.select("id", "path", "title", "hash"), t.where("id % 4 = 0").select("id", F.concat(F.lit("new "), F.col("title")).alias("title")), ["title"]))
 on_albums("sink_deep_update", "select id, if(cutoff_hz % 3 = 0, if(cutoff_hz = 0, null, cutoff_hz::double), dr) as dr from (select distinct id, cutoff_hz, max(dr) over (partition by id) as dr from track)",
     lambda t: changes.deep_update(t.groupBy("id").agg(F.max("dr").alias("dr")), t.where("cutoff_hz % 3 = 0").select("id", F.expr("if(cutoff_hz = 0, double('nan'), double(cutoff_hz))").alias("dr")).distinct(), ["dr"]))
 on_documents("sink_hash_update", "select id, if(id % 5 = 0, upper(hash), hash) as hash from track", lambda t: changes.deep_update(t.select("id", "hash"), t.where("id % 5 = 0").select("id", F.upper("hash").alias("hash")), ["hash"]))
@@ -70,7 +70,7 @@ on_albums("ord_albums", "select distinct folder, row_number() over (order by low
 on_albums("cls_md5_match", "select id, case when title is null then -1 when title = 'x' or id % 3 = 0 then 1 else 0 end as m from track", lambda t: t.select("id", fn.md5_match(F.col("title"), F.expr("if(id % 3 = 0, title, 'none')")).alias("m")))
 on_albums("cls_route", "select id, if(format = 'MP3', 'codec', 'flac') as route from track", lambda t: t.select("id", fn.route(F.col("format")).alias("route")))
 on_albums("fn_ago_label", "select id, case when m < 1 then 'just now' when m < 60 then m || ' min' when m < 2880 then (m // 60) || ' h' else (m // 1440) || ' days' end as label from (select id, size // 60000 as m from track)", lambda t: t.select("id", fn.ago_label(F.col("size")).alias("label")))
-on_albums("inc_progress_eta", "select id, if(duration_ms < 20000 or modified = 0, null, round(size * (duration_ms / modified), 6)) as eta from track", lambda t: t.select("id", F.round(fn.eta(F.col("modified"), F.col("size"), F.col("duration_ms")), 6).alias("eta")))
+on_albums("inc_progress_eta", "select id, if(duration_ms < 20000 or modified = 0, null, size * duration_ms // modified) as eta from track", lambda t: t.select("id", fn.eta(F.col("modified"), F.col("size"), F.col("duration_ms")).alias("eta")))
 on_albums("view_actions", "select id, (issues & ~accepted & 62) <> 0 as open, (issues & accepted & 62) <> 0 as kept from track where issues & 62 <> 0", lambda t: t.where(fn.has(fn.FAKES)).select("id", fn.has(fn.FAKES, fn.open_mask()).alias("open"), (F.expr("issues & accepted & 62") != 0).alias("kept")))
 on_albums("join_album_copy", """, n as (select folder, lower(max(album)) as t, lower(max(album_artist)) as a from track group by folder), c as (select t, a, min(folder) as one, max(folder) as last from n where t is not null and a is not null group by t, a having count(*) > 1)
  select folder, if(folder = one, last, one) as copy from n join c using (t, a)""", lambda t: albums.copies(t))
