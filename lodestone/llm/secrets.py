@@ -1,7 +1,8 @@
 """Secret scans in DataFrame functions only: three fixed patterns, and character Markov models for what they miss.
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are counted from labelled
-samples. A long token is a secret if the mean log-likelihood ratio of its character pairs is above a bound.
+samples. A long token is a secret if the log-likelihood ratios of the character pairs of some part of it add up to more
+than a bound, so a name or path before or after a secret in the same token doesn't hide it. The span is the whole token.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST = 6
-#: Tokens that the models judge, the characters they know, and the mean ratio (nats a pair) above which one is a secret.
+#: Tokens that the models judge, the characters they know, the most that one pair counts either way, and the summed ratio
+#: of the best part above which a token is a secret (nats). The README has the recall and false alarms of this bound.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-BOUND = 0.9
+MOST, BOUND = 2.0, 8.0
 MARK, OTHER = "\x01", "\x02"
 
 #: Ordinary words that the default identifiers are made of.
@@ -50,8 +52,8 @@ def samples(count: int = 3000, seed: int = 1) -> list[tuple[str, int]]:
 
 
 def fit(labelled: list[tuple[str, int]]) -> list[int]:
-    """Thousandths of the log-likelihood ratio of each pair of LETTERS, row by row, with add-one smoothing. Characters
-    that aren't in LETTERS are skipped."""
+    """Thousandths of the log-likelihood ratio of each pair of LETTERS, row by row, with add-one smoothing, MOST
+    at most either way. Characters that aren't in LETTERS are skipped."""
     n = len(LETTERS)
     place = {c: i for i, c in enumerate(LETTERS)}
     pairs = [[1.0] * (n * n) for _ in range(2)]
@@ -62,7 +64,8 @@ def fit(labelled: list[tuple[str, int]]) -> list[int]:
     table = []
     for a in range(n):
         sums = [sum(p[a * n : a * n + n]) for p in pairs]
-        table += [round(1000 * (math.log(pairs[1][a * n + b] / sums[1]) - math.log(pairs[0][a * n + b] / sums[0]))) for b in range(n)]
+        ratios = [math.log(pairs[1][a * n + b] / sums[1]) - math.log(pairs[0][a * n + b] / sums[0]) for b in range(n)]
+        table += [round(1000 * max(-MOST, min(MOST, r))) for r in ratios]
     return table
 
 
@@ -70,21 +73,26 @@ def ratio(table: list[int], token: str) -> float:
     """What score() computes, for one token."""
     n = len(LETTERS)
     at = [LETTERS.index(c) for c in token]
-    return sum(table[a * n + b] for a, b in zip(at, at[1:])) / 1000 / max(1, len(at) - 1)
+    run = best = 0
+    for a, b in zip(at, at[1:]):
+        run = max(0, run + table[a * n + b])
+        best = max(best, run)
+    return best / 1000
 
 
 def score(table: list[int], token: Column) -> Column:
-    """The mean ratio over the token's pairs. The table is a constant of fixed size, folded into the plan."""
+    """The largest sum of ratios over neighbouring pairs of the token. The table is a constant of fixed size, folded into
+    the plan."""
     n = len(LETTERS)
     constant = F.transform(F.split(F.lit(",".join(map(str, table))), ","), lambda x: x.cast("int"))
-    letters = F.lit(LETTERS)
+    letters, zero = F.lit(LETTERS), F.lit(0).cast("long")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
-    summed = F.aggregate(
-        codes, F.struct(F.lit(-1).alias("before"), F.lit(0).cast("long").alias("sum")),
-        lambda s, c: F.struct(c.alias("before"), (s["sum"] + F.when(s["before"] < 0, F.lit(0)).otherwise(F.element_at(constant, s["before"] * n + c + 1))).alias("sum")),
-        lambda s: s["sum"],
-    )
-    return summed / 1000.0 / F.greatest(F.length(token) - 1, F.lit(1))
+
+    def step(s, c):
+        run = F.greatest(zero, s["run"] + F.when(s["before"] < 0, F.lit(0)).otherwise(F.element_at(constant, s["before"] * n + c + 1)))
+        return F.struct(c.alias("before"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(codes, F.struct(F.lit(-1).alias("before"), zero.alias("run"), zero.alias("best")), step, lambda s: s["best"]) / 1000.0
 
 
 def _matches(text: Column, pattern: str) -> Column:
