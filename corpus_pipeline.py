@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, jaccard, quality, secrets
-from lodestone.llm.common import one_in, shared_dir, table
+from lodestone.llm.common import checkpointed, one_in, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +18,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group connected by similarities of 0.8 or more the document with the least doc_id, once; documents
-    without a doc_id can't be compared and stay."""
-    first = jaccard.join(docs).where("doc_id = class_id").select("doc_id")
-    rows, keys = first.count(), first.distinct()
-    kept = docs.join(jaccard.small(keys, rows), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if rows != keys.count():
-        kept = kept.dropDuplicates(["doc_id"])
+    """Of each group connected by similarities of 0.8 or more the document with the least doc_id, once; where texts of a
+    group share that doc_id, one of them. Documents without a doc_id can't be compared and stay."""
+    least = jaccard.join(docs, carry=True).where("doc_id = class_id").groupBy("_root", "doc_id", "_unit", "_mark").agg(F.count("*").alias("rows"))
+    first = checkpointed(least.groupBy("_root").agg(F.min(F.struct("doc_id", "_unit", "_mark", "rows")).alias("s")).select("s.doc_id", "s._mark", "s.rows"))
+    count, most = first.agg(F.count("*"), F.max("rows")).first()
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    kept = marked.join(jaccard.small(first.select("doc_id", "_mark"), count), ["doc_id", "_mark"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if (most or 1) > 1:
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

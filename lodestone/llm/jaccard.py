@@ -198,27 +198,30 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL, carry: bool = False) -> DataFrame:
     """(key, class_id, n_links, n_copies) of every row: n_links counts the other rows whose Jaccard similarity is the
     threshold or more, copies included; class_id is the least key of all that are connected by such links; n_copies
     counts the rows with the same set of n-grams, this one included.
 
     Texts without words (null, empty, punctuation) have the empty set and count as copies of each other. Repeated rows
     are copies. A row with a null key isn't compared: it comes out with a null class_id and no links. An empty table
-    gives an empty one. Other columns aren't carried. The threshold must be over 0.5."""
+    gives an empty one. Other columns aren't carried. The threshold must be over 0.5.
+
+    With ``carry`` also ``_root``, ``_unit`` and ``_mark``: numbers of the row's class, of its set and of its text, null
+    for a null key; a repeated key may be the class_id of several classes, which only ``_root`` tells apart."""
     bands = bands_for(recall, threshold)
     kind = df.select(key).schema[0].dataType.simpleString()
 
     def make():
         banding = Banding(bands, BAND_ROWS)
 
-        def each(k, value):
+        def each(k, value, mark):
             hashes = shingles(value or "", size)
-            yield k, unit_of(hashes), len(hashes), banding.hashes(hashes).view(np.int64).tolist() if len(hashes) else []
+            yield k, mark, unit_of(hashes), len(hashes), banding.hashes(hashes).view(np.int64).tolist() if len(hashes) else []
 
         return each
 
-    rows = checkpointed(map_rows(df.where(F.col(key).isNotNull()), [key, text], f"_key {kind}, unit long, size int, bands array<long>", make))
+    rows = checkpointed(map_rows(df.where(F.col(key).isNotNull()).withColumn("_mark", F.xxhash64(text)), [key, text, "_mark"], f"_key {kind}, _mark long, unit long, size int, bands array<long>", make))
     units = rows.groupBy("unit").agg(F.min("_key").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = units.select("unit", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least != most").select("band", "least")
@@ -232,9 +235,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     every = units.select("unit", "first", "copies").join(linked, "unit", "left").join(joined, F.col("unit") == F.col("node"), "left")
     every = every.select("unit", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "unit").alias("root"))
     classes = every.groupBy("root").agg(F.min("first").alias("class_id"))
-    answer = checkpointed(every.join(classes, "root").select("unit", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
-    found = rows.select("_key", "unit").join(answer, "unit").select(F.col("_key").alias(key), "class_id", "n_links", "n_copies")
-    lost = df.where(F.col(key).isNull()).select(F.col(key), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    answer = checkpointed(every.join(classes, "root").select("unit", "root", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
+    more = {"_root": "root", "_unit": "unit", "_mark": "_mark"} if carry else {}
+    found = rows.select("_key", "_mark", "unit").join(answer, "unit").select(F.col("_key").alias(key), "class_id", "n_links", "n_copies", *[F.col(c).alias(n) for n, c in more.items()])
+    lost = df.where(F.col(key).isNull()).select(F.col(key), F.lit(None).cast(kind).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), *[F.lit(None).cast("long").alias(n) for n in more])
     return found.unionByName(lost)
 
 

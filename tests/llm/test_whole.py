@@ -22,3 +22,17 @@ def test_secrets_are_found_bare_and_beside_names(spark):
     key = "wJ4rXUtnF7MIaK2MDb9xRfiCYq8LkE3zHsP6vGdT"
     df = spark.createDataFrame([(1, f"export AWS_SECRET_ACCESS_KEY={key} # x"), (2, names[0])], "doc_id long, text string")
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["export [secret] # x", names[0]]
+
+
+def test_near_copies_keep_different_texts_of_one_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(60)]
+    near = base[:-1] + ["other"]
+    texts = [(1, " ".join(base)), (1, " ".join(f"v{i}" for i in range(40))), (2, " ".join(near)), (3, "one two three four five six"), (3, "one two three four five six"), (3, "q r s t u v w"), (4, "a b c d e f"), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in texts], "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want = {texts[0], texts[1], texts[3], texts[5], texts[6], texts[7]}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == len(want) and set(got) == want
+    both = spark.createDataFrame([(1, " ".join(base)), (1, " ".join(near))], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, both, "").count() == 1
