@@ -87,7 +87,10 @@ def search(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), "s.n_shared", "s.n_item", (F.col("s.n_shared") / F.col("s.n_item")).alias("containment"))
 
 
-def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that hold no item, with all their columns; cases as in search(), and rows with a null key
-    stay."""
+def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", by_row: bool = False, **options) -> DataFrame:
+    """The rows of ``df`` whose key has no text that holds an item, with all their columns; with ``by_row`` each row is
+    judged by its own text, whatever others share its key. Cases as in search(), and rows with a null key stay."""
+    if by_row:
+        marked = df.withColumn("_row", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("mark"))))
+        return clean(marked, items, "_row", text, **options).select(*[F.col(f"`{c}`") for c in df.columns])
     return df.join(search(df, items, key, text, **options).select(key).distinct(), key, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

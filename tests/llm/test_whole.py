@@ -36,3 +36,12 @@ def test_near_copies_keep_different_texts_of_one_id(spark):
     assert kept.columns == docs.columns and len(got) == len(want) and set(got) == want
     both = spark.createDataFrame([(1, " ".join(base)), (1, " ".join(near))], "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, both, "").count() == 1
+
+
+def test_benchmark_stage_judges_rows_and_not_ids(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    rows = [(7, item, 1), (7, "none", 2), (8, None, 3), (8, "see " + item, 4), (None, item, 5), (9, "fine", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    left = corpus_pipeline.drop_benchmark(spark, docs, "/root/testdata/sf0.001")
+    assert left.columns == docs.columns and sorted(r.n for r in left.collect()) == [2, 3, 5, 6]
