@@ -11,18 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows turned into Python objects at once, and bytes of output held back at most (one row may be longer).
-ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
+#: Rows turned into Python objects at once, characters after which a slice is full, and bytes of output held back at most
+#: (one row may be longer).
+ROWS_AT_ONCE, LONG_AT_ONCE, BYTES_AT_ONCE = 256, 2 << 20, 8 << 20
 #: What a session's Arrow batches are brought down to: rows, bytes. The defaults hold up to 64 MB several times over.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
-    """Rows of ``schema`` that ``make()`` yields for each row of ``columns``.
+    """Rows of ``schema`` that ``make()`` yields for each row of ``columns``. ``make`` runs once a task, on the executor."""
 
-    ``make`` runs once a task, on the executor. Rows go through in small slices, so that memory depends on the longest
-    row and not on the partition; for that the session's Arrow batches are brought down to BATCH, and stay so. Columns
-    are selected by name and renamed, so others of the frame can't clash."""
+    def one_by_one():
+        each = make()
+        return lambda rows: (made for row in rows for made in each(*row))
+
+    return map_slices(df, columns, schema, one_by_one)
+
+
+def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[tuple]], Iterable[tuple]]]) -> DataFrame:
+    """Rows of ``schema`` that ``make()`` yields for each small slice of rows of ``columns``: at most ROWS_AT_ONCE, and no
+    further row after LONG_AT_ONCE characters.
+
+    ``make`` runs once a task, on the executor. Memory depends on the longest row and not on the partition; for that the
+    session's Arrow batches are brought down to BATCH, and stay so. Columns are selected by name and renamed, so others
+    of the frame can't clash."""
     conf = df.sparkSession.conf
     for name, most in BATCH.items():
         now = conf.get(name).rstrip("bB")
@@ -31,6 +43,19 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     picked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
 
+    def slices(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    rows.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, (bytes, str, list)))
+                    if len(rows) >= ROWS_AT_ONCE or size >= LONG_AT_ONCE:
+                        yield rows
+                        rows, size = [], 0
+        if rows:
+            yield rows
+
     def run(batches):
         each = make()
         held: list[list] = [[] for _ in arrow]
@@ -44,17 +69,14 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             size = 0
             return out
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                for row in zip(*(c.to_pylist() for c in part.columns)):
-                    for made in each(*row):
-                        for v, x in zip(held, made):
-                            v.append(x)
-                            if isinstance(x, (bytes, str, list)):
-                                size += len(x)
-                        if size >= BYTES_AT_ONCE or len(held[0]) >= 4096:
-                            yield flush()
+        for rows in slices(batches):
+            for made in each(rows):
+                for v, x in zip(held, made):
+                    v.append(x)
+                    if isinstance(x, (bytes, str, list)):
+                        size += len(x)
+                if size >= BYTES_AT_ONCE or len(held[0]) >= 4096:
+                    yield flush()
         if held[0]:
             yield flush()
 
