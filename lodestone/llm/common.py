@@ -110,6 +110,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(first[0].unionByName(first[1])), key)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or where the frame has such a column (case apart), one that it doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_in(key: str, parts: int, rest: int) -> Column:
     """Whether crc32 of the key as text leaves ``rest``; false for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == rest, F.lit(False))
