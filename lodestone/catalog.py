@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import tracks as fn
 from lodestone.operators import albums, changes, duplicates, signal
+from lodestone.sources import media
 from lodestone.plans.bind import ALBUM_TRACKS_SQL, DOCUMENT_TRACKS_SQL, album_tracks, document_tracks, table
 
 QUERIES: dict = {}
@@ -29,14 +31,19 @@ def _covers(spark, d):
 _COVERS = "select '/music/' || o_orderkey as folder from orders where o_orderkey % 3 = 0"
 
 
+def _titled(spark, d):
+    """Some tracks without an artist, some with a fingerprint."""
+    return document_tracks(spark, d).withColumn("artist", F.expr("if(id % 17 = 0, null, artist)")).withColumn("printed", F.expr("id % 3 = 0"))
+
+
 def _edges(spark, d):
-    t = document_tracks(spark, d)
+    t = _titled(spark, d)
     return duplicates.union_edges(duplicates.star(t, ["hash", "size"], duplicates.IDENTICAL), duplicates.same_title(t))
 
 
-_EDGES = f"""{_D}, h as (select id, min(id) over (partition by hash, size) as a from track), t as (select id, duration_ms, {_FOLD.format("artist")} || '|' || {_FOLD.format("title")} as k, {_FOLD.format("title")} as t from track),
- s as (select k from t where t <> '' group by k having count(*) between 2 and 12), n as (select t.* from t join s using (k) where t <> ''),
- identical as (select a, id as b, 0 as kind from h where id <> a), titled as (select x.id as a, y.id as b, 3 as kind from n x join n y on x.k = y.k and x.id < y.id and abs(x.duration_ms - y.duration_ms) <= 2000),
+_EDGES = f"""{_D}, h as (select id, min(id) over (partition by hash, size) as a from track), t as (select id, duration_ms, id % 3 = 0 as printed, {_FOLD.format("artist")} as ak, {_FOLD.format("title")} as tk from track where id % 17 <> 0 and title is not null),
+ s as (select ak, tk from t group by ak, tk having count(*) between 2 and 12), n as (select t.* from t join s using (ak, tk)),
+ identical as (select a, id as b, 0 as kind from h where id <> a), titled as (select x.id as a, y.id as b, 3 as kind from n x join n y on x.ak = y.ak and x.tk = y.tk and x.id < y.id and abs(x.duration_ms - y.duration_ms) <= 2000 and not (x.printed and y.printed)),
  edge as (select least(a, b) as a, greatest(a, b) as b, min(kind) as kind from (select * from identical union all select * from titled) group by all)"""
 _PARTS = (
     _EDGES.replace("with track", "with recursive track", 1)
@@ -45,8 +52,6 @@ _PARTS = (
 
 
 def _samples(spark, d):
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, d, "events").select(F.col("user_id").alias("track"), F.lit(0).alias("channel"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.round(F.col("value") * 100).cast("long").alias("value"))
 
@@ -81,14 +86,15 @@ def on_documents(name: str, sql: str, make):
 
 
 # Sources
-on_albums("src_ext_filter", f"select id, path from track where regexp_extract(lower(path), '[^.]+$') in ({', '.join(repr(e) for e in fn.EXTENSIONS)})", lambda t: t.where(F.lower(F.regexp_extract("path", "[^.]+$", 0)).isin(*fn.EXTENSIONS)).select("id", "path"))
+_ENDINGS = "['flac', 'MP3', 'wav', 'aif', 'aiff', 'aifc', 'dsf', 'dff', 'ape', 'wv', 'm4a', 'mp4', 'aac', 'alac', 'ogg', 'oga', 'Opus', 'wma', 'txt', 'jpg', 'flac~', 'mka', 'cue']"
+on_albums("src_ext_filter", f"""select id, path from (select id, path || '.' || {_ENDINGS}[(id % 23 + 1)::int] as path from track) where regexp_extract(lower(path), '[^.]+$') in
+ ('flac', 'mp3', 'wav', 'aif', 'aiff', 'aifc', 'dsf', 'dff', 'ape', 'wv', 'm4a', 'mp4', 'aac', 'alac', 'ogg', 'oga', 'opus')""", lambda t: t.select("id", F.expr(f"concat(path, '.', element_at(array({_ENDINGS[1:-1]}), int(id % 23 + 1)))").alias("path")).where(fn.extension().isin(fn.EXTENSIONS)))
 on_albums("src_table_scan", "select id, path, size, issues from track where deep_version > 0", lambda t: t.where("deep_version > 0").select("id", "path", "size", "issues"))
 on_albums("src_point_lookup", "select id, path from track where folder = '/music/7'", lambda t: t.where("folder = '/music/7'").select("id", "path"))
-add("src_folder_cover", """with f as (select url as path, regexp_replace(url, '/[^/]*$', '') as folder, regexp_extract(url, '[^/]*$') as name from pages)
- select folder, coalesce(max(name) filter (regexp_matches(lower(name), '^[0-9]*[05](\\D|$)')), min(name)) as cover from f group by folder""")(
-    lambda spark, d: table(spark, d, "pages").select(F.regexp_replace("url", "/[^/]*$", "").alias("folder"), F.regexp_extract("url", "[^/]*$", 0).alias("name")).groupBy("folder").agg(F.coalesce(F.max(F.when(F.lower("name").rlike(r"^[0-9]*[05](\D|$)"), F.col("name"))), F.min("name")).alias("cover"))
-)
-
+_FILES = "concat(folder, '/', case id % 9 when 0 then 'Folder.JPG' when 1 then 'zz cover.png' when 2 then 'back.webp' when 3 then '.cover.jpg' when 4 then 'cover-2.gif' when 5 then 'notes.txt' when 6 then 'inlay.bmp' else concat(id, if(id % 2 = 0, '.flac', '.mp3')) end)"
+on_albums("src_folder_cover", f""", f as (select folder, regexp_extract(p, '[^/]*$') as name from (select folder, {_FILES} as p from track)), e as (select folder, name, lower(regexp_extract(name, '[^.]*$')) as ending from f where name not like '.%')
+ select folder, coalesce(max(name) filter (ending in ('jpg', 'jpeg', 'png', 'webp', 'bmp', 'gif') and regexp_matches(lower(name), '^(cover|folder|front|album)')), min(name) filter (ending in ('jpg', 'jpeg', 'png', 'webp', 'bmp', 'gif'))) as cover
+ from e group by folder having count(*) filter (ending in ('flac', 'mp3')) > 0""", lambda t: media.covers(t.select(F.expr(_FILES).alias("path"))))
 # Scalar functions
 on_albums("fn_path_parts", "select id, regexp_extract(path, '[^/]*$') as name, regexp_replace(path, '/[^/]*$', '') as folder from track", lambda t: t.select("id", fn.file_name().alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")))
 on_documents("fn_norm_key", f"select id, {_FOLD.format('title')} as key from track", lambda t: t.select("id", fn.norm_key(F.col("title")).alias("key")))
@@ -99,7 +105,7 @@ on_albums("fn_plural", "select folder, count(*) || ' track' || if(count(*) = 1,
 on_albums("fn_duration_label", "select id, case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end as label from (select id, duration_ms * 20 // 1000 as s from track)", lambda t: t.select("id", fn.duration_label(F.col("duration_ms") * 20).alias("label")))
 on_albums("fn_bitrate", "select id, if(duration_ms > 0, size * 8 // duration_ms, 0) as kbps from track", lambda t: t.select("id", fn.kbps(F.col("size"), F.col("duration_ms")).alias("kbps")))
 on_albums("fn_flags", f"select id, issues & ~accepted as open, list_aggregate(list_transform(list_filter([{', '.join(f'struct_pack(n := {n!r}, b := {b})' for n, b in fn.ISSUES.items())}], lambda x: issues & x.b <> 0), lambda x: x.n), 'string_agg', ',') as names from track", lambda t: t.select("id", fn.open_mask().alias("open"), F.nullif(F.concat_ws(",", *[F.when(fn.has(b), F.lit(n)) for n, b in fn.ISSUES.items()]), F.lit("")).alias("names")))
-on_albums("fn_like_bitrate", "select id, case when cutoff_hz <= 11500 then 64 when cutoff_hz <= 15500 then 96 when cutoff_hz <= 17200 then 128 when cutoff_hz <= 18200 then 160 when cutoff_hz <= 19200 then 192 else 256 end as kbps from track", lambda t: t.select("id", fn.like_bitrate(F.col("cutoff_hz")).alias("kbps")))
+on_albums("fn_like_bitrate", "select id, case when cutoff_hz <= 11500 then 'up to 64' when cutoff_hz <= 15500 then '96-112' when cutoff_hz <= 17200 then '128' when cutoff_hz <= 18200 then '160' when cutoff_hz <= 19200 then '192' else '256-320' end as kbps from track", lambda t: t.select("id", fn.like_bitrate(F.col("cutoff_hz")).alias("kbps")))
 on_documents("fn_path_score", "select id, -1000 * len(regexp_extract_all(p, '(?i)(\\(\\d+\\)|\\bcopy\\b|копия|/download|/telegram|/tmp/|/temp/)')) - length(p) as score from (select id, path || if(id % 3 = 0, ' (1)', '') || if(id % 5 = 0, ' copy', '') as p from track)", lambda t: t.select("id", F.expr("concat(path, if(id % 3 = 0, ' (1)', ''), if(id % 5 = 0, ' copy', ''))").alias("path")).select("id", fn.path_score().cast("long").alias("score")))
 on_albums("fn_lead_artist", "select id, regexp_replace(artist, ' feat. Guest$', '') as lead from track", lambda t: t.select("id", fn.lead_artist(F.col("artist")).alias("lead")))
 on_albums("fn_number_pair", "select id, track as number, track_total as total from track", lambda t: t.select("id", *[c.alias(n) for c, n in zip(fn.number_pair(F.expr("concat(lpad(track, 2, '0'), '/', track_total)")), ("number", "total"))]))
@@ -117,12 +123,35 @@ on_albums("grp_resolution", f"select id, {_RESOLUTION} as resolution from track"
 on_albums("cls_shrink_target", """, n as (select *, case when sample_rate % 44100 = 0 then 44100 when sample_rate % 48000 = 0 then 48000 else sample_rate end as base from track),
  m as (select *, if(issues & 8 <> 0 and sample_rate > base, base, sample_rate) as r, if(issues & 16 <> 0 and effective_bits between 1 and 16, 16, bits) as b from n)
  select id, r as rate, b as bits from m where format = 'FLAC' and deep_version > 0 and issues & 1 = 0 and channels between 1 and 8 and issues & 24 <> 0 and (r <> sample_rate or b <> bits)""", lambda t: t.select("id", fn.shrink_target()[0].alias("rate"), fn.shrink_target()[1].alias("bits")).where("rate is not null"))
-on_albums("cls_damage", "select id, (effective_bits > 20 or ultrasonic_db > 50 or (cutoff_hz > 0 and cutoff_hz < 2000)) as damaged from track", lambda t: t.select("id", F.expr("effective_bits > 20 or ultrasonic_db > 50 or (cutoff_hz > 0 and cutoff_hz < 2000)").alias("damaged")))
+_LISTEN = [
+    *"id path format lossless sample_rate bits bitrate cutoff_hz ultrasonic_db effective_bits issues deep_version".split(), "if(id % 19 = 0, 'unreadable', if(id % 23 = 0, 'not decoded', null)) as deep_error",
+    "cast(if(id % 29 = 0, 3, 0) as int) as frame_errors", "cast(if(id % 31 = 0, 0, if(id % 2 = 0, 1, -1)) as int) as md5_match", "size as expected_samples", "if(id % 37 = 0, size - 1, if(id % 41 = 0, size + 1, size)) as decoded_samples",
+    "(id % 37 = 0 and size > 0) as truncated", "md5(path) as sample_md5", "if(id % 43 = 0, 'no header', null) as probe_error",
+]
+_LISTENED = f", h as (select {', '.join(_LISTEN)} from track)"
+_DAMAGED = "(deep_error is not null or frame_errors > 0 or md5_match = 0 or (expected_samples > 0 and decoded_samples < expected_samples))"
+_listen = lambda t: t.selectExpr(*_LISTEN)
+on_albums("cls_damage", f"{_LISTENED} select id, {_DAMAGED} as damaged from h", lambda t: _listen(t).select("id", fn.damaged().alias("damaged")))
+on_albums("cls_row", f"""{_LISTENED} select id, if(coalesce(deep_error, '') = 'not decoded', 0, {_FOUND.replace('issues & 1 <> 0', _DAMAGED)}) as issues, if(format <> 'FLAC' or md5_match <> 1, sample_md5, null) as decoded_md5 from h""", lambda t: _listen(t).select("id", *[c.alias(n) for n, c in fn.listened().items()]))
+on_albums("inc_probe_fallback", f"select id, p as path, probe_error is not null and lower(regexp_extract(p, '[^.]*$')) in ('flac', 'mp3', 'wav', 'aif', 'aiff', 'aifc', 'dsf', 'dff', 'ape', 'wv') as damaged from (select id, path || '.' || {_ENDINGS}[(id % 23 + 1)::int] as p, if(id % 3 = 0, 'no header', null) as probe_error from track)", lambda t: t.select("id", F.expr(f"concat(path, '.', element_at(array({_ENDINGS[1:-1]}), int(id % 23 + 1)))").alias("path"), F.expr("if(id % 3 = 0, 'no header', null)").alias("probe_error")).select("id", "path", fn.probed_damage(F.col("probe_error")).alias("damaged")))
+on_albums("fn_explain", f"""{_LISTENED} select id, case when probe_error is not null then 'unreadable' when deep_version < 1 then 'waiting' when deep_error = 'not decoded' then 'not_decoded' when issues & 63 = 0 then if(lossless, if(md5_match = 1, 'clean_signed', 'clean_lossless'), 'clean') else
+ concat_ws(',', if(issues & 1 <> 0, case when deep_error is not null then 'undecodable' when truncated then 'truncated' when frame_errors > 0 then 'bad_frames' when md5_match = 0 then 'other_signature' else 'damaged' end, null),
+ if(issues & 2 <> 0, 'lossy_source', null), if(issues & 4 <> 0, 'maybe_lossy', null), if(issues & 8 <> 0, if(cutoff_hz between 1 and 24500, 'upsampled_cutoff', 'upsampled_drop'), null), if(issues & 16 <> 0, 'padded', null), if(issues & 32 <> 0, 'reencoded', null)) end as codes from h""", lambda t: _listen(t).select("id", fn.explanation().alias("codes")))
+on_albums("fn_tag_normalise", """, g as (select path, i as place, ['Title', 'ARTIST', 'album_artist', 'Band', 'track', 'TotalTracks', 'DiscNumber', 'originaldate', 'Compilation', 'Year', 'title', 'comment'][(id + i * 5) % 12 + 1] as name,
+ case when (id + i) % 7 = 0 then '  ' else ['  one ', '3/12', 'true', '7', '1', '0'][(id // 3 + i) % 6 + 1] end as value from track, (select unnest(range(6)) as i)),
+ k as (select path, place, upper(replace(name, '_', ' ')) as n, trim(value) as v from g where trim(value) <> '')
+ select path, min_by(v, place) filter (n = 'TITLE') as title, min_by(v, place) filter (n = 'ARTIST') as artist, null::varchar as album, min_by(v, place) filter (n in ('ALBUM ARTIST', 'BAND')) as album_artist,
+ coalesce(min_by(x, place) filter (n = 'TRACK' and x > 0), 0) as track, coalesce(min_by(case when n = 'TOTALTRACKS' then x else y end, place) filter ((n = 'TRACK' and y > 0) or (n = 'TOTALTRACKS' and x > 0)), 0) as track_total,
+ coalesce(min_by(x, place) filter (n = 'DISCNUMBER' and x > 0), 0) as disc, coalesce(min_by(y, place) filter (n = 'DISCNUMBER' and y > 0), 0) as disc_total,
+ min_by(v, place) filter (n in ('ORIGINALDATE', 'YEAR')) as date, null::varchar as genre, coalesce(bool_or(n = 'COMPILATION' and v in ('1', 'true')), false) as compilation
+ from (select *, coalesce(try_cast(regexp_extract(v, '^\\d{1,4}') as int), 0) as x, coalesce(try_cast(regexp_extract(v, '^[^/]*/(\\d{1,4})', 1) as int), 0) as y from k where n <> 'COMMENT') group by path""", lambda t: media.normalised(t.select("path", "id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("place")).selectExpr(
+    "path", "place", "element_at(array('Title', 'ARTIST', 'album_artist', 'Band', 'track', 'TotalTracks', 'DiscNumber', 'originaldate', 'Compilation', 'Year', 'title', 'comment'), int((id + place * 5) % 12 + 1)) as name",
+    "if((id + place) % 7 = 0, '  ', element_at(array('  one ', '3/12', 'true', '7', '1', '0'), int((id div 3 + place) % 6 + 1))) as value")))
 
 # Entity resolution and groups
 on_documents("join_identical", ", h as (select id, min(id) over (partition by hash, size) as a from track) select a, id as b, 0 as kind from h where id <> a", lambda t: duplicates.star(t, ["hash", "size"], duplicates.IDENTICAL))
 on_documents("join_same_audio", ", h as (select id, min(id) over (partition by hash) as a from track) select a, id as b, 1 as kind from h where id <> a", lambda t: duplicates.star(t, ["hash"], duplicates.SAME_AUDIO))
-add("join_same_title", f"{_EDGES} select * from titled")(lambda spark, d: duplicates.same_title(document_tracks(spark, d)))
+add("join_same_title", f"{_EDGES} select * from titled")(lambda spark, d: duplicates.same_title(_titled(spark, d)))
 add("join_edge_union", f"{_EDGES} select * from edge")(_edges)
 add("grp_components", f"{_PARTS} select * from part")(lambda spark, d: duplicates.components(_edges(spark, d)))
 add("grp_track_kind", f"{_EDGES} select id, min(kind) as kind from (select a as id, kind from edge union all select b, kind from edge) group by id")(lambda spark, d: duplicates.track_kinds(_edges(spark, d)))
@@ -180,6 +209,12 @@ on_albums("view_fakes", "select folder, count(*) as open from track where (issue
 on_albums("view_kept", "select distinct folder from track where issues & accepted & 62 <> 0", lambda t: t.where(F.expr("issues & accepted & 62") != 0).select("folder").distinct())
 on_albums("view_active_roots", "select id from track where starts_with(path, '/music/1/') or starts_with(path, '/music/5/')", lambda t: t.where(F.col("path").startswith("/music/1/") | F.col("path").startswith("/music/5/")).select("id"))
 
+on_albums("view_issue_filter", "select folder, count(*) as flagged from track where (issues & ~accepted) & 8 <> 0 group by folder", lambda t: albums.issue_filter(t, fn.UPSAMPLED, fn.FAKES))
+on_albums("join_siblings", f"""{_TITLE}, l as (select '/all/' || (regexp_extract(folder, '[0-9]+')::bigint % 50) || '/' || regexp_extract(folder, '[0-9]+') as folder, lower(v) as t from title)
+ select x.folder, y.folder as sibling from l x join l y on regexp_replace(x.folder, '/[^/]*$', '') = regexp_replace(y.folder, '/[^/]*$', '') and x.t = y.t and x.folder <> y.folder""", lambda t: albums.siblings(albums.mode_first(t, "folder", F.col("album"), "title").select(F.expr("concat('/all/', cast(regexp_extract(folder, '[0-9]+', 0) as bigint) % 50, '/', regexp_extract(folder, '[0-9]+', 0))").alias("folder"), F.upper("title").alias("title"))))
+on_albums("ord_queue", "select folder, path, row_number() over (partition by folder order by path) as place from track where deep_version < 1", lambda t: t.where("deep_version < 1").select("folder", "path", F.row_number().over(Window.partitionBy("folder").orderBy("path")).alias("place")))
+add("src_blob_read", "select vec_id as id, embedding as spectrum from embeddings where vec_id % 2 = 0")(lambda spark, d: table(spark, d, "embeddings").where("vec_id % 2 = 0 and embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("spectrum")))
+
 # Diffs and changes: the store is what it was before every seventh track changed and every eleventh came
 _NEW = "select path, if(id % 7 = 0, size + 1, size) as size, modified from track where id % 13 <> 0"
 _OLD = "select path, size, modified from track where id % 11 <> 0"

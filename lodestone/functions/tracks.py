@@ -10,7 +10,10 @@ DAMAGED, LOSSY_SOURCE, MAYBE_LOSSY, UPSAMPLED, PADDED, REENCODED = 1, 2, 4, 8, 1
 ISSUES = {"DAMAGED": DAMAGED, "LOSSY_SOURCE": LOSSY_SOURCE, "MAYBE_LOSSY": MAYBE_LOSSY, "UPSAMPLED": UPSAMPLED, "PADDED": PADDED, "REENCODED": REENCODED}
 FAKES = LOSSY_SOURCE | MAYBE_LOSSY | UPSAMPLED | PADDED | REENCODED
 # Audio file extensions.
-EXTENSIONS = "flac mp3 wav aif aiff aifc dsf dff ape wv m4a mp4 aac ogg oga opus wma".split()
+EXTENSIONS = "flac mp3 wav aif aiff aifc dsf dff ape wv m4a mp4 aac alac ogg oga opus".split()
+# Those whose headers are parsed here, so that a failure is damage.
+OWN_PARSERS = "flac mp3 wav aif aiff aifc dsf dff ape wv".split()
+# What marks a path as a stray copy, and what begins a guest's name.
 CLUTTER = r"(?i)(\(\d+\)|\bcopy\b|копия|/download|/telegram|/tmp/|/temp/)"
 GUEST = r"(?i)(\s+(feat\.?|ft\.?|featuring|with)\s+|\s*[(\[](feat\.?|ft\.?|featuring)\s).*$"
 
@@ -66,11 +69,11 @@ def kbps(size: Column, ms: Column) -> Column:
 
 
 def like_bitrate(cutoff: Column) -> Column:
-    """Typical bitrate in kbps of a cutoff, the lower end of the range."""
-    ladder = F.when(cutoff <= 11_500, 64)
-    for bound, rate in ((15_500, 96), (17_200, 128), (18_200, 160), (19_200, 192)):
-        ladder = ladder.when(cutoff <= bound, rate)
-    return ladder.otherwise(256)
+    """Bitrates in kbps that a cutoff is typical of, as a range where there is one."""
+    ladder = F.when(cutoff <= 11_500, "up to 64")
+    for bound, label in ((15_500, "96-112"), (17_200, "128"), (18_200, "160"), (19_200, "192")):
+        ladder = ladder.when(cutoff <= bound, label)
+    return ladder.otherwise("256-320")
 
 
 def path_score(path: str = "path") -> Column:
@@ -128,7 +131,7 @@ def md5_match(told: Column, decoded: Column) -> Column:
 
 def route(format: Column) -> Column:
     """What decodes a format, null for nothing."""
-    kinds = {"flac": ["FLAC"], "pcm": ["WAV", "AIFF"], "codec": "MP3 AAC ALAC M4A OGG OPUS".split()}
+    kinds = {"flac": ["FLAC"], "pcm": ["WAV", "AIFF"], "codec": "MP3 AAC ALAC OGG OPUS".split()}
     out = None
     for name, formats in kinds.items():
         out = F.when(format.isin(formats), name) if out is None else out.when(format.isin(formats), name)
@@ -144,3 +147,36 @@ def ago_label(ms: Column) -> Column:
 def eta(done: Column, left: Column, elapsed_ms: Column) -> Column:
     """Whole milliseconds that the bytes left will take, null in the first 20 seconds."""
     return F.when((elapsed_ms >= 20_000) & (done > 0), F.floor(left * elapsed_ms / F.nullif(done, F.lit(0))))
+
+
+def extension(path: str = "path") -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def damaged() -> Column:
+    """Whether a listen shows damage: an error, bad frames, another signature, or fewer samples than promised."""
+    truncated = (F.col("expected_samples") > 0) & (F.col("decoded_samples") < F.col("expected_samples"))
+    return F.col("deep_error").isNotNull() | (F.col("frame_errors") > 0) | (F.col("md5_match") == 0) | truncated
+
+
+def listened(not_decoded: str = "not decoded") -> dict[str, Column]:
+    """What is kept of a listen: a format that nothing decodes gets no verdict; the signature of the samples is kept
+    unless a FLAC file's own one matched."""
+    skipped = F.col("deep_error").eqNullSafe(F.lit(not_decoded))
+    kept = F.when((F.col("format") != "FLAC") | (F.col("md5_match") != 1), F.col("sample_md5"))
+    return {"issues": F.when(skipped, 0).otherwise(found_issues(damaged())), "decoded_md5": kept}
+
+
+def probed_damage(error: Column, path: str = "path") -> Column:
+    """A header that isn't read is damage only where it would be parsed here."""
+    return error.isNotNull() & extension(path).isin(OWN_PARSERS)
+
+
+def explanation() -> Column:
+    """Codes of what is known of a track, in their fixed order, joined by commas."""
+    damage = F.when(F.col("deep_error").isNotNull(), "undecodable").when(F.col("truncated"), "truncated").when(F.col("frame_errors") > 0, "bad_frames").when(F.col("md5_match") == 0, "other_signature").otherwise("damaged")
+    above = F.when(F.col("cutoff_hz").between(1, 24_500), "upsampled_cutoff").otherwise("upsampled_drop")
+    parts = [F.when(has(DAMAGED), damage), F.when(has(LOSSY_SOURCE), "lossy_source"), F.when(has(MAYBE_LOSSY), "maybe_lossy"), F.when(has(UPSAMPLED), above), F.when(has(PADDED), "padded"), F.when(has(REENCODED), "reencoded")]
+    found = F.nullif(F.concat_ws(",", *parts), F.lit(""))
+    clean = F.when(F.col("lossless") & (F.col("md5_match") == 1), "clean_signed").when(F.col("lossless"), "clean_lossless").otherwise("clean")
+    return F.when(F.col("probe_error").isNotNull(), "unreadable").when(F.col("deep_version") < 1, "waiting").when(F.col("deep_error") == "not decoded", "not_decoded").otherwise(F.coalesce(found, clean))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import tracks as fn
+from lodestone.operators.duplicates import checkpointed
 
 
 def mode_first(df: DataFrame, group: str, value: Column, name: str, order: tuple[str, ...] = ("disc", "track", "path")) -> DataFrame:
@@ -72,14 +73,30 @@ def incomplete(tracks: DataFrame) -> DataFrame:
 
 
 def lint_all(tracks: DataFrame, covers: DataFrame) -> DataFrame:
-    """(folder, problem), problems numbered in their fixed order."""
-    parts = [no_cover(tracks, covers), heavy_cover(tracks), split(tracks), missing_tags(tracks), incomplete(tracks)]
-    names = ["no_cover", "heavy_cover", "split", "missing_tags", "incomplete"]
-    out = [p.select("folder", F.lit(n).alias("problem"), F.lit(i).alias("place")) for i, (n, p) in enumerate(zip(names, parts))]
-    found = out[0]
-    for p in out[1:]:
-        found = found.unionByName(p)
-    return found
+    """(folder, problem), problems numbered in their fixed order: one aggregate by folder, disc and number, and one by
+    folder of what came of it. Of the values that may be split only four of a folder are kept, as no rule asks for more."""
+    distinct = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    numbers = tracks.groupBy("folder", "disc", "track").agg(
+        F.count("*").alias("n"), F.max("track_total").alias("t"), F.max("pictures").alias("p"), F.max(F.expr("picture_bytes > 1000000 or greatest(picture_w, picture_h) > 1600")).alias("heavy"),
+        *[F.slice(F.collect_set(c), 1, 4).alias(c) for c in ("album", "album_artist", "artist")], F.count_if(F.col("album_artist").isNull()).alias("missing"),
+        F.count_if(F.expr("title is null or artist is null or album is null or track = 0")).alias("lacking"),
+    )
+    discs = numbers.groupBy("folder", "disc").agg(
+        F.sum("n").alias("n"), F.sum(F.expr("if(track = 0, n, 0)")).alias("z"), F.greatest(F.max("t"), F.max("track")).alias("want"), F.max("t").alias("t"), F.count_if(F.col("track") >= 1).alias("have"),
+        F.max("p").alias("p"), F.max("heavy").alias("heavy"), *[F.slice(distinct(c), 1, 4).alias(c) for c in ("album", "album_artist", "artist")], F.sum("missing").alias("missing"), F.sum("lacking").alias("lacking"),
+    )
+    counted = F.when((F.col("n") == 1) & (F.col("t") == 0), F.lit(0))
+    folders = discs.groupBy("folder").agg(
+        F.sum("n").alias("n"), F.sum("z").alias("z"), F.sum(counted.otherwise(F.col("have"))).alias("have"), F.sum(counted.otherwise(F.col("want"))).alias("want"),
+        F.max("p").alias("p"), F.max("heavy").alias("heavy"), *[F.size(distinct(c)).alias(c) for c in ("album", "album_artist", "artist")], F.sum("missing").alias("missing"), F.sum("lacking").alias("lacking"),
+    )
+    covered = covers.select("folder").distinct().withColumn("covered", F.lit(True))
+    rules = {
+        "no_cover": "p = 0 and covered is null", "heavy_cover": "heavy", "split": "n >= 2 and album <= 3 and (album > 1 or album_artist > 1 or (artist > 1 and missing > 0 and album = 1))",
+        "missing_tags": "lacking > 0", "incomplete": "z = 0 and want > 0 and have < want and want <= 99",
+    }
+    found = F.array(*[F.when(F.expr(r), F.struct(F.lit(name).alias("problem"), F.lit(i).alias("place"))) for i, (name, r) in enumerate(rules.items())])
+    return folders.join(covered, "folder", "left").select("folder", F.explode(F.array_compact(found)).alias("f")).select("folder", "f.problem", "f.place")
 
 
 def ordered(tracks: DataFrame) -> DataFrame:
@@ -98,12 +115,35 @@ def badges(tracks: DataFrame, most: int = 3) -> DataFrame:
 
 
 def by_artist(listed: DataFrame) -> DataFrame:
-    """(folder, place) by artist, title and folder, without case. Albums are placed within their artist; only one row
-    for each artist goes through one task."""
+    """(folder, place) by artist, title and folder, without case. Artists are dealt to ranges, and only the number of albums
+    of each range goes through the driver; albums are placed within their artist."""
     rows = listed.select("folder", F.lower("artist").alias("a"), F.lower("title").alias("t"))
-    distinct = rows.groupBy("a").agg(F.count("*").alias("n"))
-    started = distinct.select("a", (F.sum("n").over(Window.orderBy("a")) - F.col("n")).alias("start"))
-    return rows.join(started, "a").select("folder", (F.col("start") + F.row_number().over(Window.partitionBy("a").orderBy("t", "folder"))).alias("place"))
+    ranged = checkpointed(rows.groupBy("a").agg(F.count("*").alias("n")).repartitionByRange(F.col("a").asc_nulls_first()).withColumn("p", F.spark_partition_id()))
+    before, first = 0, [F.lit(-1), F.lit(0).cast("long")]
+    for r in ranged.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect():
+        first += [F.lit(r.p), F.lit(before).cast("long")]
+        before += r.n
+    order = Window.partitionBy("p").orderBy(F.col("a").asc_nulls_first())
+    started = ranged.select("a", (F.create_map(*first)[F.col("p")] + F.sum("n").over(order) - F.col("n")).alias("start"))
+    joined = rows.join(started.withColumnRenamed("a", "b"), F.col("a").eqNullSafe(F.col("b")))
+    return joined.select("folder", (F.col("start") + F.row_number().over(Window.partitionBy("a").orderBy("t", "folder"))).alias("place"))
+
+
+def siblings(listed: DataFrame) -> DataFrame:
+    """(folder, sibling): folders beside an album that hold the same title, without case."""
+    named = listed.where("title is not null").select("folder", F.regexp_replace("folder", "/[^/]*$", "").alias("parent"), F.lower("title").alias("t"))
+    many = named.groupBy("parent", "t").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = named.join(many, ["parent", "t"])
+    return kept.alias("x").join(kept.alias("y"), F.expr("x.parent = y.parent and x.t = y.t and x.folder <> y.folder")).select(F.expr("x.folder").alias("folder"), F.expr("y.folder").alias("sibling"))
+
+
+def issue_filter(tracks: DataFrame, chosen: int | None, mask: int) -> DataFrame:
+    """(folder, flagged) of the albums shown for a chosen finding of the mask, with their flagged tracks; where no album has
+    it any more, those of the whole mask."""
+    opened = tracks.select("folder", fn.open_mask().bitwiseAND(F.lit(mask)).alias("o")).where("o <> 0")
+    if chosen is not None and opened.where(fn.has(chosen, "o")).limit(1).count():
+        opened = opened.where(fn.has(chosen, "o"))
+    return opened.groupBy("folder").agg(F.count("*").alias("flagged"))
 
 
 def copies(tracks: DataFrame) -> DataFrame:

@@ -76,8 +76,10 @@ def quarantine(tracks: DataFrame, batch, kind: int) -> DataFrame:
 
 
 def restore(store: DataFrame, log: DataFrame) -> DataFrame:
-    """The store's paths with what the log moved back in its place."""
-    back = log.select(F.col("moved").alias("path"), "original").distinct()
+    """The store's paths with what the log moved back in its place; of several entries of a moved path the last one counts, by
+    id where the log has one."""
+    last = F.max_by("original", "id") if "id" in log.columns else F.max("original")
+    back = log.groupBy(F.col("moved").alias("path")).agg(last.alias("original"))
     return store.join(back, "path", "left").withColumn("path", F.coalesce("original", "path")).select(*store.columns)
 
 

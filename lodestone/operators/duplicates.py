@@ -19,12 +19,14 @@ def star(tracks: DataFrame, keys: list[str], kind: int) -> DataFrame:
 
 
 def same_title(tracks: DataFrame, most: int = 12, tolerance_ms: int = 2000) -> DataFrame:
-    """All pairs of 2 to ``most`` tracks of one title and artist whose lengths differ by the tolerance at most. Larger
-    groups are no evidence, by definition; their size is counted before any pair is made."""
-    named = tracks.select("id", "duration_ms", F.concat_ws("|", fn.norm_key(F.col("artist")), fn.norm_key(F.col("title"))).alias("k"), fn.norm_key(F.col("title")).alias("t")).where("t <> ''")
+    """All pairs of 2 to ``most`` tracks of one title and artist, both known, whose lengths differ by the tolerance at most.
+    Larger groups are no evidence, by definition; their size is counted before any pair is made. Where there is a column
+    ``printed``, pairs of which both have a fingerprint are left to the fingerprints."""
+    printed = F.col("printed") if "printed" in tracks.columns else F.lit(False)
+    named = tracks.where("title is not null and artist is not null").select("id", "duration_ms", printed.alias("printed"), F.struct(fn.norm_key(F.col("artist")), fn.norm_key(F.col("title"))).alias("k"))
     sized = named.groupBy("k").agg(F.count("*").alias("n")).where(f"n between 2 and {most}").select("k")
-    kept = named.join(sized, "k").select("k", "id", "duration_ms")
-    pairs = kept.alias("x").join(kept.alias("y"), F.expr(f"x.k = y.k and x.id < y.id and abs(x.duration_ms - y.duration_ms) <= {tolerance_ms}"))
+    kept = named.join(sized, "k")
+    pairs = kept.alias("x").join(kept.alias("y"), F.expr(f"x.k = y.k and x.id < y.id and abs(x.duration_ms - y.duration_ms) <= {tolerance_ms} and not (x.printed and y.printed)"))
     return pairs.select(F.expr("x.id").alias("a"), F.expr("y.id").alias("b"), F.lit(SAME_TITLE).alias("kind"))
 
 
@@ -36,23 +38,35 @@ def union_edges(*edges: DataFrame) -> DataFrame:
     return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").alias("kind"))
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, root): least id that each track is connected with. Labels pass along edges and then along labels; every round
-    is checkpointed to the shared folder. Raises if the rounds run out."""
-    context = edges.sparkSession.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in files of the shared folder: that of spark.checkpoint.dir; a local session without one
+    gets a folder of its warehouse."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or edges.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")).checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
+        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
+def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(id, root): least id that each track is connected with. Large and small stars take turns; a round's edges are no more
+    than those before, and are checkpointed. Raises if the rounds run out."""
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     for _ in range(most_rounds):
-        heard = links.join(labels, links.b == labels.id).groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(heard, labels.id == heard.a).select("id", F.least("root", "m").alias("root"))
-        jump = lower.select(F.col("id").alias("j"), F.col("root").alias("jr"))
-        new = lower.join(jump, lower.root == jump.j).select("id", F.least("root", "jr").alias("root")).checkpoint()
-        moved = new.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = checkpointed(small.where("a <> b").distinct())
     raise RuntimeError("groups did not settle")
 
 

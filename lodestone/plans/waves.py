@@ -68,7 +68,8 @@ on_albums("agg_badges", _OPEN + ", t as (select folder, count(*) as n from track
 on_albums("ord_albums", "select distinct folder, row_number() over (order by lower(a), lower(t), folder) as place from (select folder, coalesce(min(album_artist), '') as a, coalesce(min(album), '') as t from track group by folder)",
     lambda t: albums.by_artist(t.groupBy("folder").agg(F.coalesce(F.min("album_artist"), F.lit("")).alias("artist"), F.coalesce(F.min("album"), F.lit("")).alias("title"))))
 on_albums("cls_md5_match", "select id, case when title is null then -1 when title = 'x' or id % 3 = 0 then 1 else 0 end as m from track", lambda t: t.select("id", fn.md5_match(F.col("title"), F.expr("if(id % 3 = 0, title, 'none')")).alias("m")))
-on_albums("cls_route", "select id, if(format = 'MP3', 'codec', 'flac') as route from track", lambda t: t.select("id", fn.route(F.col("format")).alias("route")))
+_FORMATS = "['FLAC', 'WAV', 'AIFF', 'MP3', 'AAC', 'ALAC', 'OGG', 'OPUS', 'M4A', 'DSF', 'WV']"
+on_albums("cls_route", f"select id, case when f = 'FLAC' then 'flac' when f in ('WAV', 'AIFF') then 'pcm' when f in ('MP3', 'AAC', 'ALAC', 'OGG', 'OPUS') then 'codec' end as route from (select id, {_FORMATS}[(id % 11 + 1)::int] as f from track)", lambda t: t.select("id", fn.route(F.expr(f"element_at(array({_FORMATS[1:-1]}), int(id % 11 + 1))")).alias("route")))
 on_albums("fn_ago_label", "select id, case when m < 1 then 'just now' when m < 60 then m || ' min' when m < 2880 then (m // 60) || ' h' else (m // 1440) || ' days' end as label from (select id, size // 60000 as m from track)", lambda t: t.select("id", fn.ago_label(F.col("size")).alias("label")))
 on_albums("inc_progress_eta", "select id, if(duration_ms < 20000 or modified = 0, null, size * duration_ms // modified) as eta from track", lambda t: t.select("id", fn.eta(F.col("modified"), F.col("size"), F.col("duration_ms")).alias("eta")))
 on_albums("view_actions", "select id, (issues & ~accepted & 62) <> 0 as open, (issues & accepted & 62) <> 0 as kept from track where issues & 62 <> 0", lambda t: t.where(fn.has(fn.FAKES)).select("id", fn.has(fn.FAKES, fn.open_mask()).alias("open"), (F.expr("issues & accepted & 62") != 0).alias("kept")))

@@ -4,6 +4,7 @@ so a task holds little whatever the size of its files. Parsers raise on damage;
 from __future__ import annotations
 
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -28,11 +29,12 @@ MP3_KBPS = {
     (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 FIELDS = {
-    "TITLE": "TITLE TIT2 TT2 INAM NAME", "ARTIST": "ARTIST TPE1 TP1 IART AUTH", "ALBUM": "ALBUM TALB TAL IPRD", "ALBUMARTIST": "ALBUMARTIST TPE2 TP2", "TRACK": "TRACK TRACKNUMBER TRCK TRK ITRK",
-    "DISC": "DISC DISCNUMBER TPOS TPA", "DATE": "DATE YEAR TDRC TYER TYE ICRD", "GENRE": "GENRE TCON TCO IGNR", "COMPILATION": "COMPILATION TCMP TCP",
+    "TITLE": "TITLE TIT2 TT2 INAM NAME", "ARTIST": "ARTIST TPE1 TP1 IART AUTH", "ALBUM": "ALBUM TALB TAL IPRD", "ALBUMARTIST": "ALBUMARTIST BAND TPE2 TP2", "TRACK": "TRACK TRACKNUMBER TRCK TRK ITRK",
+    "DISC": "DISC DISCNUMBER TPOS TPA", "DATE": "DATE YEAR ORIGINALDATE TDRC TYER TYE ICRD", "GENRE": "GENRE TCON TCO IGNR", "COMPILATION": "COMPILATION TCMP TCP",
+    "TRACKTOTAL": "TRACKTOTAL TOTALTRACKS", "DISCTOTAL": "DISCTOTAL TOTALDISCS",
 }
 FIELD_OF = {name: field for field, listed in FIELDS.items() for name in listed.split()}
-IMAGES = ["jpg", "jpeg", "png"]
+IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif"]
 LARGEST_TAG = 64 << 20
 
 
@@ -41,15 +43,44 @@ class Damaged(ValueError):
 
 
 def normalise(pairs) -> dict[str, str]:
-    """Known fields of (name, value) pairs: names without case and underscores, the first value that isn't blank wins."""
+    """Known fields of (name, value) pairs: names without case, an underscore being a space; the first value that isn't blank
+    wins, for a compilation any that says so."""
     out: dict[str, str] = {}
     for name, value in pairs:
-        field, value = FIELD_OF.get(name.upper().replace("_", "").replace(" ", "")), value.strip(" \t\r\n\0")
-        if field and value:
-            out.setdefault(field, value)
+        name, value = name.upper().replace("_", " ").strip(), value.strip(" \t\r\n\0")
+        field = FIELD_OF.get("ALBUMARTIST" if name == "ALBUM ARTIST" else name)
+        if not field or not value:
+            continue
+        if field == "COMPILATION":
+            value = "1" if value == "1" or value.lower() == "true" else "0"
+            out[field] = max(out.get(field, "0"), value)
+        out.setdefault(field, value)
     return out
 
 
+def normalised(tags: DataFrame) -> DataFrame:
+    """The same for rows (path, place, name, value), as columns: (path, title, artist, album, album_artist, track, track_total,
+    disc, disc_total, date, genre, compilation). A total beside a number counts like a field of its own."""
+    name = F.trim(F.regexp_replace(F.upper("name"), "_", " "))
+    known = F.create_map(*[F.lit(x) for pair in {**FIELD_OF, "ALBUM ARTIST": "ALBUMARTIST"}.items() for x in pair])
+    value = F.regexp_replace("value", r"^[\s\x00]+|[\s\x00]+$", "")
+    rows = tags.select("path", "place", known[name].alias("field"), value.alias("value")).where("field is not null and value <> ''")
+    first = lambda field, value="value": F.min_by(F.when(F.col("field") == field, F.col(value)), F.when(F.col("field") == field, F.col("place")))
+    number, total = fn.number_pair(F.col("value"))
+    alone = F.col("field").isin("TRACKTOTAL", "DISCTOTAL")
+    rows = rows.withColumn("number", F.nullif(number, F.lit(0))).withColumn("total", F.nullif(F.when(alone, number).otherwise(total), F.lit(0)))
+    kind = F.regexp_extract("field", "^(TRACK|DISC)", 1)
+
+    def numbered(of, value, where):
+        mine = (kind == of) & where & F.col(value).isNotNull()
+        return F.coalesce(F.min_by(F.when(mine, F.col(value)), F.when(mine, F.col("place"))), F.lit(0))
+
+    plain = {n.lower().replace("albumartist", "album_artist"): first(n) for n in ("TITLE", "ARTIST", "ALBUM", "ALBUMARTIST", "DATE", "GENRE")}
+    sums = {f"{of.lower()}{end}": numbered(of, v, w) for of in ("TRACK", "DISC") for end, v, w in (("", "number", ~alone), ("_total", "total", F.lit(True)))}
+    both = F.coalesce(F.max((F.col("field") == "COMPILATION") & F.lower("value").isin("1", "true")), F.lit(False))
+    return rows.groupBy("path").agg(*[c.alias(n) for n, c in {**plain, **sums}.items()], both.alias("compilation"))
+
+
 class _File:
     def __init__(self, f):
         self.f = f
@@ -452,11 +483,12 @@ def _mapped(df: DataFrame, schema: str, rows) -> DataFrame:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, modified) of the audio files below a root, without what lies under names that start with a dot. The
-    content isn't read."""
+    """(path, size, modified) of the audio files below a root, without what lies under names that start with a dot or in the
+    root's own folder Android. The content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     audio = F.lower(F.regexp_extract("path", r"[^.]+$", 0)).isin(fn.EXTENSIONS)
-    return files.where(audio & ~F.col("path").rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
+    system = F.regexp_replace("path", "^file:/+", "/").startswith(re.sub("^file:/+", "/", root).rstrip("/") + "/Android/")
+    return files.where(audio & ~system & ~F.col("path").rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"))
 
 
 def probe(files: DataFrame) -> DataFrame:
@@ -513,8 +545,11 @@ def stored_md5(files: DataFrame) -> DataFrame:
 
 
 def covers(files: DataFrame) -> DataFrame:
-    """(folder, cover) of images (path): the last by name that is called after a cover, else the first."""
-    name = F.substring_index("path", "/", -1)
-    images = files.where(F.lower(F.regexp_extract("path", r"[^.]+$", 0)).isin(IMAGES) & ~F.startswith(name, F.lit("."))).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), name.alias("name"))
-    called = F.lower("name").rlike("cover|folder|front|album")
-    return images.groupBy("folder").agg(F.coalesce(F.max(F.when(called, F.col("name"))), F.min("name")).alias("cover"))
+    """(folder, cover) of each folder of (path) with audio files of its own: of its images the last by name whose name begins
+    like a cover's, else the first one, else null. Names that start with a dot don't count."""
+    name, ending = F.substring_index("path", "/", -1), fn.extension()
+    image = ending.isin(IMAGES)
+    called = image & F.lower(name).rlike("^(cover|folder|front|album)")
+    seen = files.where(~name.startswith(".")).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+    each = seen.agg(F.max(ending.isin(fn.EXTENSIONS)).alias("audio"), F.coalesce(F.max(F.when(called, name)), F.min(F.when(image, name))).alias("cover"))
+    return each.where("audio").select("folder", "cover")
