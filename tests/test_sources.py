@@ -7,7 +7,7 @@ import struct
 import numpy as np
 import pytest
 
-from lodestone.sources import made, media
+from lodestone.sources import flac, made, media
 from lodestone.streaming import ingest
 
 NUMBERS = (48000, 24, 2, 2304, "Títle")
@@ -43,6 +43,7 @@ def test_id3_unsynchronised_and_opaque_frames():
 
 def test_tags_first_value_wins_and_blank_ones_do_not():
     assert media.normalise([("Album_Artist", " "), ("ALBUM ARTIST", "a\0"), ("albumartist", "b"), ("x", "y")]) == {"ALBUMARTIST": "a"}
+    assert media.normalise([("compilation", "no"), ("COMPILATION", "True"), ("Band", "b"), ("TotalTracks", "9"), ("track number", "4")]) == {"COMPILATION": "1", "ALBUMARTIST": "b", "TRACKTOTAL": "9"}
 
 
 def test_image_sizes():
@@ -89,8 +90,79 @@ def test_walk_probe_and_covers(spark, tmp_path):
     assert sorted(p.path.rsplit("/", 1)[-1] for p in found.collect()) == ["a.flac", "b.wav"]
     rows = {r.path.rsplit("/", 1)[-1]: r for r in media.probe(found).collect()}
     assert rows["a.flac"].tags["TITLE"] == "Títle" and rows["a.flac"].error is None and rows["b.wav"].error
-    images = spark.createDataFrame([("/m/z.jpg",), ("/m/back.png",), ("/m/cover.jpg",), ("/m/front.jpg",), ("/n/b.png",), ("/n/a.png",), ("/n/.x.png",), ("/o/t.txt",)], "path string")
-    assert {tuple(r) for r in media.covers(images).collect()} == {("/m", "front.jpg"), ("/n", "a.png")}
+    images = spark.createDataFrame([("/m/z.jpg",), ("/m/back.png",), ("/m/cover.jpg",), ("/m/front.jpg",), ("/n/b.png",), ("/n/a.png",), ("/n/.x.png",), ("/o/t.txt",), ("/o/cover.gif",), ("/m/1.flac",), ("/n/1.Mp3",), ("/n/my cover.png",), ("/p/1.alac",)], "path string")
+    assert {tuple(r) for r in media.covers(images).collect()} == {("/m", "front.jpg"), ("/n", "a.png"), ("/p", None)}
+
+
+def test_walk_leaves_out_the_system_folder_of_the_root(spark, tmp_path):
+    for at in ("Android/a.flac", "x/Android/b.flac", "c.wma", "d.alac"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in media.walk(spark, str(tmp_path)).collect()) == ["b.flac", "d.alac"]
+
+
+def test_flac_published_example():
+    """The first example file of RFC 9639, appendix D: one sample of two channels."""
+    data = bytes.fromhex("664c6143 80000022 10001000 00000f00 000f0ac4 42f00000 00013e84 b41807dc 69030758 6a3dad1a 2e0f fff8 6918 0000 bf03 58fd 0312 8baa 9a".replace(" ", ""))
+    row = parsed("flac", data)
+    got = flac.decode(data[row["audio_at"] :], row["bits"])
+    assert got.md5 == row["audio_md5"] and got.errors == 0 and got.blocks[0].tolist() == [[25588, 10416]]
+
+
+def sound(n=30_000, channels=2, bits=16, seed=1):
+    rng = np.random.default_rng(seed)
+    wave = 9000 * np.sin(np.arange(n)[:, None] / (3 + 40 * np.arange(1, channels + 1))) + np.cumsum(rng.normal(0, 3, (n, channels)), 0)
+    return wave.astype(int).clip(-(1 << bits - 1), (1 << bits - 1) - 1)
+
+
+@pytest.mark.parametrize("bits, channels, n", [(16, 2, 20_000), (24, 1, 9_000), (8, 3, 5_000), (16, 8, 700), (16, 1, 1), (20, 2, 4097)])
+def test_flac_round_trip(bits, channels, n):
+    values = sound(n, channels, bits)
+    data = flac.encode(values, bits, 44_100)
+    row = parsed("flac", data)
+    got = flac.decode(data[row["audio_at"] :], row["bits"])
+    assert (got.errors, got.samples, got.md5) == (0, n, row["audio_md5"]) and (np.concatenate(got.blocks) == values).all()
+    assert flac.decode(b"", bits).samples == 0
+
+
+def test_flac_predictors_and_stereo():
+    """Frames put together bit by bit: linear prediction, an escaped part, the three ways of stereo."""
+
+    def made_frame(layout, subframes):
+        lead = bytes([0xFF, 0xF8, 0x69, layout << 4 | 8, 0, 7])
+        lead += bytes([flac.crc8(lead)])
+        text = "".join(subframes)
+        text += "0" * (-len(text) % 8)
+        whole = lead + int(text, 2).to_bytes(len(text) // 8, "big")
+        return whole + flac.crc16(whole).to_bytes(2, "big")
+
+    verbatim = lambda x, n: flac._packed([(1 << 1, 8), *((v, n) for v in x)])
+    a, b = [5, -7, 100, 101, 99, 0, -32768, 32767], [1, 2, -3, 4, 5, -6, 7, 8]
+    side = [x - y for x, y in zip(a, b)]
+    for layout, parts in ((8, (verbatim(a, 16), verbatim(side, 17))), (9, (verbatim(side, 17), verbatim(b, 16))), (10, (verbatim([x + y >> 1 for x, y in zip(a, b)], 16), verbatim(side, 17)))):
+        got = flac.decode(made_frame(layout, parts), 16)
+        assert got.errors == 0 and got.blocks[0].T.tolist() == [a, b]
+    # Order 2, weights 3 and -2 over 2, of 4 bits; the rest of 6 samples escaped with 9 bits each.
+    rest, want = [1, -2, 3, -4, 200, -200], [10, 20]
+    for r in rest:
+        want.append(r + (3 * want[-1] - 2 * want[-2] >> 1))
+    linear = flac._packed([(33 << 1, 8), (10, 16), (20, 16), (3, 4), (1, 5), (3, 4), (-2, 4), (0, 2), (0, 4), (15, 4), (9, 5), *((r, 9) for r in rest)])
+    got = flac.decode(made_frame(0, [linear]), 16)
+    assert got.errors == 0 and got.blocks[0][:, 0].tolist() == want
+
+
+def test_flac_damage_and_cuts(spark):
+    whole = flac.encode(sound(), 16, 44_100)
+    hurt = bytearray(whole)
+    for i in range(40):
+        hurt[len(whole) // 2 + i] ^= 0x5A
+    rows = [("/good.flac", whole), ("/hurt.flac", bytes(hurt)), ("/cut.flac", whole[: len(whole) * 2 // 3]), ("/head.flac", whole[:42]), ("/none.flac", None), ("/x.flac", b"junk" * 50)]
+    got = {r.path: r for r in flac.listen(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    good, bad, cut = got["/good.flac"], got["/hurt.flac"], got["/cut.flac"]
+    assert (good.frame_errors, good.md5_match, good.truncated) == (0, 1, False)
+    assert bad.frame_errors == 1 and bad.md5_match == 0 and 30_000 - 2 * 4096 <= bad.decoded_samples < 30_000
+    assert cut.truncated and cut.md5_match == 0 and cut.decoded_samples % 4096 == 0
+    assert got["/head.flac"].decoded_samples == 0 and got["/none.flac"].error and got["/x.flac"].error
 
 
 def test_stream_takes_what_came_since(spark, tmp_path):
