@@ -13,6 +13,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 #: The base patterns, their kinds as listed, and the least length of what counts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
@@ -24,6 +26,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MOST, BOUND = 2.0, 8.0
 MARK, OTHER = "\x01", "\x02"
+#: Code points of the blocks that a text is cut into to replace spans.
+PLACE = 1024
 
 #: Ordinary words that the default identifiers are made of.
 WORDS = (
@@ -84,7 +88,7 @@ def score(table: list[int], token: Column) -> Column:
     """The largest sum of ratios over neighbouring pairs of the token. The table is a constant of fixed size, folded into
     the plan."""
     n = len(LETTERS)
-    constant = F.transform(F.split(F.lit(",".join(map(str, table))), ","), lambda x: x.cast("int"))
+    constant = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")  # folded into a literal once
     letters, zero = F.lit(LETTERS), F.lit(0).cast("long")
     codes = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
 
@@ -95,20 +99,32 @@ def score(table: list[int], token: Column) -> Column:
     return F.aggregate(codes, F.struct(F.lit(-1).alias("before"), zero.alias("run"), zero.alias("best")), step, lambda s: s["best"]) / 1000.0
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """(at, to, found) of the pattern's leftmost non-overlapping matches: they are put between marks, the text is cut
-    at the marks, and lengths are added up. The text holds no marks."""
-    parts = F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}")), MARK, -1)
+def running(values: Column, zero: Column, add) -> Column:
+    """Of an array the results of ``add`` over its first elements, for the first one, the first two and so on. It is done
+    in blocks of about the square root of the array's size, so that none of the arrays that grow in it gets long; ``add``
+    must be associative. The array must be a column of its own: an expression would be made anew for each block."""
+    size = F.size(values)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(size.cast("double"))).cast("int"))
+    grow = lambda done, x: F.concat(done, F.array(x))
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int")), lambda i: F.slice(values, i * step + 1, step))
+    inner = F.transform(blocks, lambda b: F.aggregate(b, none, lambda done, x: grow(done, add(F.coalesce(F.try_element_at(done, F.lit(-1)), zero), x))))
+    before = F.aggregate(inner, F.array(zero), lambda done, b: grow(done, add(F.element_at(done, -1), F.element_at(b, -1))))
+    return F.when(size > 0, F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, first: F.transform(b, lambda x: add(first, x))))).otherwise(none)
+
+
+def _marked(text: Column, pattern: str) -> Column:
+    """The text cut at the borders of the pattern's leftmost non-overlapping matches, which are every second part; null
+    without matches. The text holds no marks."""
+    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, F.lit(f"({pattern})"), F.lit(f"{MARK}$1{MARK}")), MARK, -1))
+
+
+def _matches(parts: Column, ends: Column) -> Column:
+    """(at, to, found) of the parts that are matches, by the running sums of the lengths of all parts."""
     empty = F.array().cast("array<struct<at:int,to:int,found:string>>")
-    walked = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"), (~s["inside"]).alias("inside"),
-            F.when(s["inside"], F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), (s["at"] + F.length(p)).alias("to"), p.alias("found"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    odd = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    found = F.transform(odd, lambda i: F.struct(F.element_at(ends, i - 1).alias("at"), F.element_at(ends, i).alias("to"), F.element_at(parts, i).alias("found")))
+    return F.when(parts.isNull(), empty).otherwise(found)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -120,24 +136,35 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["at"].cast("string"), s["to"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, text: str = "text", table: list[int] | None = None, bound: float = BOUND) -> DataFrame:
-    """All columns of ``df`` and ``_base``, ``_all``: arrays of (at, kind, to) by at, then kind as listed; code points, the
-    end exclusive. ``_all`` also has what the models add: tokens above the bound that overlap no base span.
+def scan(df: DataFrame, text: str = "text", table: list[int] | None = None, bound: float = BOUND, base: str = "_base", every: str = "_all") -> DataFrame:
+    """All columns of ``df`` and ``base``, ``every``: arrays of (at, kind, to) by at, then kind as listed; code points, the
+    end exclusive. ``every`` also has what the models add: tokens above the bound that overlap no base span. The frame
+    mustn't have columns of these two names; what else it has is left alone.
 
-    A null or empty text has empty arrays; repeated rows give repeated rows; no row is lost."""
+    A null or empty text has empty arrays; repeated rows give repeated rows; no row is lost. A text of m matches takes
+    about m to the power of 1.5 steps."""
     table = table or fit(samples())
+    mine = {n: free(df, n) for n in ("_plain", "_parts", "_ends", "_found", "_token")}
+    plain, parts, ends, found, token = (F.col(f"`{n}`") for n in mine.values())
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    plain = F.when(F.instr(value, MARK) > 0, F.translate(value, MARK, OTHER)).otherwise(value)
-    step = df.withColumn("_plain", plain)
-    plain = F.col("_plain")
-    assigned = F.filter(_matches(plain, ASSIGN), lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 1)) >= ASSIGN_LEAST)
-    step = step.withColumns({"_assign": assigned, "_access": _matches(plain, ACCESS), "_hex": _matches(plain, HEX), "_token": _matches(plain, TOKEN)}).drop("_plain")
-    base = F.array_sort(F.concat(_spans(F.col("_assign"), 0), _spans(F.col("_access"), 1), _spans(F.col("_hex"), 2)))
-    step = step.withColumn("_base", base)
-    apart = lambda m: ~F.exists("_base", lambda b: (b["at"] < m["to"]) & (m["at"] < b["to"]))
-    judged = F.filter("_token", lambda m: (score(table, m["found"]) > bound) & apart(m))
-    step = step.withColumn("_all", F.array_sort(F.concat("_base", _spans(judged, 3))))
-    return step.drop("_assign", "_access", "_hex", "_token")
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "token": TOKEN}
+    step = df.withColumn(mine["_plain"], F.when(F.instr(value, MARK) > 0, F.translate(value, MARK, OTHER)).otherwise(value))
+    step = step.withColumn(mine["_parts"], F.struct(*[_marked(plain, p).alias(n) for n, p in patterns.items()])).drop(mine["_plain"])
+    step = step.withColumn(mine["_ends"], F.struct(*[F.transform(parts[n], F.length).alias(n) for n in patterns]))
+    step = step.withColumn(mine["_ends"], F.struct(*[F.when(parts[n].isNotNull(), running(ends[n], F.lit(0), lambda a, b: a + b)).alias(n) for n in patterns]))
+    step = step.withColumn(mine["_found"], F.struct(*[_matches(parts[n], ends[n]).alias(n) for n in patterns])).drop(mine["_parts"], mine["_ends"])
+    assigned = F.filter(found["assign"], lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 1)) >= ASSIGN_LEAST)
+    step = step.withColumn(base, F.array_sort(F.concat(_spans(assigned, 0), _spans(found["access"], 1), _spans(found["hex"], 2))))
+    step = step.withColumn(mine["_token"], F.filter(found["token"], lambda m: score(table, m["found"]) > bound)).drop(mine["_found"])
+    # A token overlaps a base span if, of those that begin before its end, the furthest end lies behind its begin. Tokens
+    # by their ends and base spans by their begins are put in order; at equal places tokens come first.
+    event = lambda key, m, kind: F.struct(key.alias("key"), F.lit(kind).alias("kind"), m["at"].alias("at"), m["to"].alias("to"))
+    step = step.withColumn(mine["_token"], F.when(F.size(token) > 0, F.array_sort(F.concat(F.transform(token, lambda m: event(m["to"], m, 0)), F.transform(base, lambda m: event(m["at"], m, 1))))))
+    step = step.withColumn(mine["_ends"], F.transform(token, lambda e: F.when(e["kind"] == 1, e["to"]).otherwise(0)))
+    step = step.withColumn(mine["_ends"], F.when(token.isNotNull(), running(ends, F.lit(0), F.greatest)))
+    apart = F.filter(F.zip_with(token, ends, lambda e, most: F.struct(e["kind"].alias("kind"), e["at"].alias("at"), e["to"].alias("to"), most.alias("most"))), lambda e: (e["kind"] == 0) & (e["most"] <= e["at"]))
+    added = F.coalesce(_spans(apart, len(KINDS) - 1), F.array().cast("array<struct<at:int,kind:int,to:int>>"))
+    return step.withColumn(every, F.array_sort(F.concat(base, added))).drop(mine["_token"], mine["_ends"])
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -149,13 +176,25 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
 
 
 def redact(df: DataFrame, text: str = "text", instead: str = "[secret]", **options) -> DataFrame:
-    """``df`` with every span of its text replaced; overlapping spans are replaced as one. All columns stay; texts
-    without spans, null ones too, stay as they are."""
-    found = scan(df, text, **options)
-    value = F.col(f"`{text}`")
-    cut = F.aggregate(
-        "_all", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, m: F.when(m["at"] >= s["at"], F.struct(m["to"].alias("at"), F.concat(s["out"], F.substring(value, s["at"] + 1, m["at"] - s["at"]), F.lit(instead)).alias("out"))).otherwise(F.struct(F.greatest(s["at"], m["to"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(value, s["at"] + 1, F.length(value))),
-    )
-    return found.withColumn(text, F.when(F.size("_all") > 0, cut).otherwise(value)).drop("_base", "_all")
+    """``df`` with every span of its text replaced; overlapping spans are replaced as one. All columns stay, whatever
+    their names; texts without spans, null ones too, stay as they are."""
+    base, every, ends, cuts = (free(df, n) for n in ("_base", "_all", "_to", "_cuts"))
+    found = scan(df, text, base=base, every=every, **options)
+    value, spans, most, pieces = F.col(f"`{text}`"), F.col(f"`{every}`"), F.col(f"`{ends}`"), F.col(f"`{cuts}`")
+    found = found.withColumn(ends, F.when(F.size(spans) > 0, F.transform(spans, lambda s: s["to"])))
+    found = found.withColumn(ends, F.when(most.isNotNull(), running(most, F.lit(0), F.greatest)))
+    # A span that begins behind the ends of all before it begins a new cut, up to which the text since these ends stays.
+    numbered = F.zip_with(spans, F.concat(F.array(F.lit(0)), most), lambda s, before: F.struct(before.alias("since"), s["at"].alias("at")))
+    found = found.withColumn(ends, F.when(most.isNotNull(), F.struct(F.filter(numbered, lambda c: c["at"] >= c["since"]).alias("keeps"), F.element_at(most, -1).alias("last"))))
+    # Blocks of the text, so that a place far in it is reached without counting from its begin.
+    found = found.withColumn(cuts, F.when(most.isNotNull(), F.regexp_extract_all(value, F.lit(f"(?s).{{1,{PLACE}}}"), F.lit(0))))
+
+    def piece(a, b):
+        """Code points a to b of the text."""
+        first, last = F.floor(a / PLACE).cast("int"), F.floor((b - 1) / PLACE).cast("int")
+        part = lambda i: F.substring(F.element_at(pieces, i + 1), F.greatest(a - i * PLACE, F.lit(0)) + 1, F.least(b - i * PLACE, F.lit(PLACE)) - F.greatest(a - i * PLACE, F.lit(0)))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise(F.lit(""))
+
+    kept = F.transform(most["keeps"], lambda c: F.concat(piece(c["since"], c["at"]), F.lit(instead)))
+    cut = F.concat(F.array_join(kept, ""), piece(most["last"], F.length(value)))
+    return found.withColumn(text, F.when(most.isNotNull(), cut).otherwise(value)).drop(base, every, ends, cuts)
