@@ -2,27 +2,39 @@
 
 The pages of a host are merged into one tree of element paths (tag and class of every element from the root). Of each
 path two distributions over its pages are counted: of the presentation (the sequence of child elements) and of the
-content (the texts directly below). Their entropies give an importance: a path that looks and says the same on all pages
-has none. Branches of low importance are removed, and so are branches whose markup names them as something else than
-the article; an article or main element is itself never of low importance, since copies of an article may lie on a host.
+content (runs of up to RUN words of the text directly below it). The entropy of a run over the pages that have the path
+says how little it tells: a run on all pages has importance 0, one on a single page 1. The importance of a branch is
+that of its presentation and of all runs in it, those of its descendants too. Branches whose importance is low beside
+that of the host's bulk of text are removed, the highest first.
+
+Where the tree can't tell (a host of few pages, a menu that differs from page to page), two rules break the tie: elements
+whose tag, class or role names a menu, an advert and the like go; and where a page has text in an article or main element,
+only such text stays. In an article the tree removes only what tells next to nothing (LOWEST in place of LOW), since
+headings of articles recur.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Container
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_rows
 
-#: The share that presentation has in the importance of a path with content; the bound of low importance; the pages that
-#: a path must be on before it can be low.
-PRESENTATION, LOW, LEAST_PAGES = 0.1, 0.3, 3
-#: Hosts up to which the low paths are broadcast.
-BROADCAST_ROWS = 100_000
+#: The share that presentation has in the importance of a branch; the words of a run.
+PRESENTATION, RUN = 0.1, 16
+#: Importance, as a share of that of the host's bulk of text, below which a branch is low, and the same within an article;
+#: the pages that a path must be on before it can be low; the share of a host's runs that a path must have to be bulk.
+LOW, LOWEST, LEAST_PAGES, BULK = 0.9, 0.3, 3, 0.1
+#: Levels of the tree: what lies deeper belongs to the element of the last level.
+LEVELS = 48
+#: Low paths (8 bytes each) up to which they are sent to every executor; beyond, they are joined to the pages.
+BROADCAST_ROWS = 200_000
 
 # Elements of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,10 +59,10 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 
 
 class _Open:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    __slots__ = ("tag", "path", "level", "noise", "main", "low", "children")
 
-    def __init__(self, tag, path, noise, main):
-        self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
+    def __init__(self, tag, path, level, noise, main, low):
+        self.tag, self.path, self.level, self.noise, self.main, self.low, self.children = tag, path, level, noise, main, low, []
 
 
 _PATHS: dict[tuple[int, str], int] = {}
@@ -70,12 +82,13 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def read(page: str):
-    """(blocks, elements): blocks are (text, path, noise, inside an article or main element) in page order, elements
-    (path, labels of the children) as they close. Tags that never close end with their parents, a p at the next block;
-    an end tag without its element is ignored; what is cut off at the end is read as far as it goes."""
-    stack, blocks, elements, pieces = [_Open("", 0, False, False)], [], [], []
-    low = None
+def read(page: str, root: int = 0, low: Container[int] = (), lowest: Container[int] = ()):
+    """(blocks, elements): blocks are (text, path, noise by name, inside an article or main element, in a low branch) in
+    page order, elements (path, paths above it, labels of the children) as they close. Paths start at ``root``, a number
+    of the host. Tags that never close end with their parents, a p at the next block; an end tag without its element is
+    ignored; what is cut off at the end is read as far as it goes."""
+    stack, blocks, elements, pieces = [_Open("", root, 0, False, False, False)], [], [], []
+    small = None
 
     def flush():
         if pieces:
@@ -86,13 +99,14 @@ def read(page: str):
                     if node.tag in BLOCK or not node.tag:
                         top = node
                         break
-                blocks.append((text, top.path, stack[-1].noise, stack[-1].main))
+                blocks.append((text, top.path, stack[-1].noise, stack[-1].main, stack[-1].low))
             pieces.clear()
 
     def close(depth):
         while len(stack) > depth:
             node = stack.pop()
-            elements.append((node.path, node.children))
+            if node.level < LEVELS:
+                elements.append((node.path, [n.path for n in stack[: LEVELS + 1]], node.children))
 
     at, end = 0, len(page)
     while at < end:
@@ -158,14 +172,15 @@ def read(page: str):
         if tag in VOID:
             continue
         if tag in RAW:
-            low = low or page.lower()
-            stop = low.find("</" + tag, at) if len(low) == end else _find(page, tag, at)
+            small = small or page.lower()
+            stop = small.find("</" + tag, at) if len(small) == end else _find(page, tag, at)
             if stop < 0:
                 break
             close_at = page.find(">", stop)
             at = end if close_at < 0 else close_at + 1
             continue
-        stack.append(_Open(tag, _path(top.path, label), noise, top.main or tag in MAIN))
+        path, main = _path(top.path, label) if top.level < LEVELS else top.path, top.main or tag in MAIN
+        stack.append(_Open(tag, path, top.level + 1, noise, main, top.low or path in (lowest if main else low)))
     flush()
     close(0)
     return blocks, elements
@@ -177,69 +192,116 @@ def _find(page: str, tag: str, at: int) -> int:
     return found.start() if found else -1
 
 
-def extract(page: str, low: set[int]) -> str:
-    """The blocks that are left: those in an article or main element where the page has one with text, else those whose
-    path isn't low."""
-    blocks = [b for b in read(page)[0] if not b[2]]
-    own = [b[0] for b in blocks if b[3]]
-    return "\n".join(own or [b[0] for b in blocks if b[1] not in low])
+def root_of(url: str | None) -> int:
+    return xxhash.xxh64_intdigest(host_of(url)) - (1 << 63)
+
+
+def extract(page: str, root: int = 0, low: Container[int] = (), lowest: Container[int] = ()) -> str:
+    """The blocks outside of low branches that aren't noise by name; of these, those in an article or main element where
+    the page has one with text. An article that would go as a whole (a host of copies of one page) stays."""
+    blocks = [b for b in read(page, root, low, lowest)[0] if not b[2]]
+    own = [b for b in blocks if b[3]]
+    return "\n".join(b[0] for b in [b for b in own if not b[4]] or own or [b for b in blocks if not b[4]])
+
+
+def runs(text: str) -> list[str]:
+    words = text.split(" ")
+    return [" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
 
 
 def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of every element path of every host. Each page gives a row
-    for each path and distribution; these are counted before they are shuffled, and only sums of counts and of count
-    times logarithm are kept for each path, so that a host with very many pages needs no large group."""
+    """(root, path, above, pages, presentation, content, importance, best) of every element path of every host: content
+    and importance of the branch below it, null where it has no text, and best, the importance of the path of the host that has the bulk of its
+    text. Each page gives a row for each path and for each run of words; these are counted before they are shuffled, and
+    only sums of counts and of count times logarithm are kept for each path, so that a host with very many pages needs no
+    large group."""
 
     def make():
         def each(address, source):
-            host, shown, said = host_of(address), {}, set()
-            blocks, elements = read(source or "")
-            for path, children in elements:
-                shown.setdefault(path, []).append(",".join(c for c, b in zip(children, [None, *children]) if c != b))
-            for text, path, _, _ in blocks:
-                said.add((path, xxhash.xxh64_intdigest(text) - (1 << 63)))
-            for path, kinds in shown.items():
-                yield host, path, 0, xxhash.xxh64_intdigest(";".join(dict.fromkeys(kinds))) - (1 << 63)
-            for path, text in said:
-                yield host, path, 1, text
+            root, shown, said = root_of(address), {}, set()
+            blocks, elements = read(source or "", root)
+            for path, above, children in elements:
+                shown.setdefault(path, (above, []))[1].append(",".join(c for c, b in zip(children, [None, *children]) if c != b))
+            for text, path, *_ in blocks:
+                said.update((path, run) for run in runs(text))
+            for path, (above, kinds) in shown.items():
+                yield path, above, 0, xxhash.xxh64_intdigest(";".join(dict.fromkeys(kinds))) - (1 << 63)
+            for path, run in said:
+                yield path, None, 1, xxhash.xxh64_intdigest(run) - (1 << 63)
 
         return each
 
-    rows = map_rows(pages, [url, page], "host string, path long, kind int, value long", make)
-    counted = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").cast("double").alias("c"))
+    rows = map_rows(pages, [url, page], "path long, above array<long>, kind int, value long", make)
+    counted = rows.groupBy("path", "above", "kind", "value").agg(F.count("*").cast("double").alias("c"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    sums = counted.groupBy("host", "path").agg(
-        of(0, F.col("c")).alias("pages"), of(0, F.col("c") * F.ln("c")).alias("shown"),
-        of(1, F.col("c")).alias("texts"), of(1, F.col("c") * F.ln("c")).alias("said"),
-    )
+    sums = counted.groupBy("path", "above").agg(of(0, F.col("c")).alias("pages"), of(0, F.col("c") * F.ln("c")).alias("shown"), of(1, F.lit(1.0)).alias("runs"), of(1, F.ln("c")).alias("said"))
+    # Rows of runs don't carry what is above their path: a path has two rows by now.
+    sums = checkpointed(sums.groupBy("path").agg(F.max("above").alias("above"), *[F.sum(c).alias(c) for c in ("pages", "shown", "runs", "said")]).where("above is not null"))
     m = F.col("pages")
-    presentation = F.when(m > 1, 1 - F.col("shown") / m / F.ln(m)).otherwise(F.lit(1.0))
-    content = F.when((m > 1) & (F.col("texts") > 0), 1 - F.col("said") / F.col("texts") / F.ln(m)).otherwise(F.lit(1.0))
-    known = sums.select("host", "path", m.cast("long").alias("pages"), presentation.alias("presentation"), content.alias("content"))
-    return known.withColumn("importance", PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * F.col("content"))
-
-
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    entropy = F.when((m > 1) & (F.col("runs") > 0), F.col("said") / F.ln(m)).otherwise(F.lit(0.0))
+    known = sums.select("path", "above", F.coalesce(F.get("above", F.lit(0)), "path").alias("root"), m.cast("long").alias("pages"), F.coalesce("runs", F.lit(0.0)).alias("runs"), entropy.alias("entropy"),
+        F.when(m > 1, 1 - F.col("shown") / m / F.ln(m)).otherwise(F.lit(1.0)).alias("presentation"))
+    branch = known.select(F.explode(F.array_distinct(F.concat("above", F.array("path")))).alias("path"), "runs", "entropy")
+    branch = branch.groupBy("path").agg(F.sum("runs").alias("all"), F.sum("entropy").alias("lost"))
+    host = known.groupBy("root").agg(F.sum("runs").alias("total"))
+    bulk = known.join(host, "root").where(F.col("runs") > 0).where(F.col("runs") >= BULK * F.col("total"))
+    mixed = lambda content: PRESENTATION * F.col("presentation") + (1 - PRESENTATION) * content
+    best = bulk.groupBy("root").agg(F.max(mixed(1 - F.col("entropy") / F.col("runs"))).alias("best"))
+    whole = known.drop("runs", "entropy").join(branch, "path").join(best, "root", "left")
+    content = F.when(F.col("all") > 0, 1 - F.col("lost") / F.col("all"))
+    return whole.select("root", "path", "above", "pages", "presentation", content.alias("content"), mixed(content).alias("importance"), "best")
+
+
+def low_paths(tree: DataFrame) -> DataFrame:
+    """(path, lowest): the low branches of a style tree, and whether they are low enough to go from an article too. The
+    page itself (the root, html and body) is never one."""
+    share = F.col("importance") / F.col("best")
+    return tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("best") > 0) & (share < LOW) & (F.size("above") > 2)).select("path", (share < LOWEST).alias("lowest"))
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", tree: DataFrame | None = None) -> DataFrame:
     """(key, url, text, n_chars) of every page: blocks of the article in page order, joined by a line feed.
 
     A null or empty page has the empty text; a null url is of the host without a name; repeated rows give repeated rows
-    and count as pages of their own; a null key stays; other columns aren't carried. The paths of a host that are low
-    depend on its templates and not on its number of pages."""
-    low = style_tree(pages, url, page).where((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES))
-    by_host = low.groupBy("host").agg(F.collect_list("path").alias("low")).withColumnRenamed("host", "_host")
-    by_host = by_host.where("size(low) > 0")
+    and count as pages of their own; a null key stays; other columns aren't carried. ``tree`` may be the style tree of
+    other pages, or an empty one. Low paths are few for each host and sent to all executors, up to BROADCAST_ROWS; beyond
+    that each page is joined with those of its own paths that are low."""
+    low = low_paths(style_tree(pages, url, page) if tree is None else tree)
+    found = low.limit(BROADCAST_ROWS + 1).collect()
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     named = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_page"))
-    host = F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    by_host = checkpointed(by_host)
-    few = by_host.count() <= BROADCAST_ROWS
-    joined = named.withColumn("_host", host).join(F.broadcast(by_host) if few else by_host, "_host", "left")
+    schema = f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long"
+    if len(found) <= BROADCAST_ROWS:
+        packed = [np.array([r.path for r in found if not least or r.lowest], np.int64).tobytes() for least in (False, True)]
+        sent = pages.sparkSession.sparkContext.broadcast(packed)
 
-    def make():
-        def each(k, address, source, paths):
-            text = extract(source or "", set(paths or ()))
+        def make():
+            all_low, all_lowest = (frozenset(np.frombuffer(x, np.int64).tolist()) for x in sent.value)
+
+            def each(k, address, source):
+                text = extract(source or "", root_of(address), all_low, all_lowest)
+                yield k, address, text, len(text)
+
+            return each
+
+        return map_rows(named, ["_key", "_url", "_page"], schema, make)
+
+    def paths():
+        def each(of, address, source):
+            return ((of, path) for path in {path for path, _, _ in read(source or "", root_of(address))[1]})
+
+        return each
+
+    def apart():
+        def each(k, address, source, own):
+            text = extract(source or "", root_of(address), {r["path"] for r in own or ()}, {r["path"] for r in own or () if r["lowest"]})
             yield k, address, text, len(text)
 
         return each
 
-    return map_rows(joined, ["_key", "_url", "_page", "low"], f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long", make)
+    # Pages of equal address and source have equal paths, so they may share a list.
+    named = named.withColumn("_of", F.struct(F.xxhash64("_url", "_page").alias("a"), F.xxhash64("_page", "_url", F.lit(1)).alias("b")))
+    held = map_rows(named.dropDuplicates(["_of"]), ["_of", "_url", "_page"], "of struct<a:long,b:long>, path long", paths).join(low, "path")
+    lists = checkpointed(held.groupBy("of").agg(F.collect_list(F.struct("path", "lowest")).alias("_low")))
+    joined = named.join(lists, F.col("_of") == F.col("of"), "left")
+    return map_rows(joined, ["_key", "_url", "_page", "_low"], schema, apart)
