@@ -167,3 +167,24 @@ def loudest(made: DataFrame) -> DataFrame:
     """The loudest fifth of each channel's blocks, one at least."""
     ranked = made.select("*", F.row_number().over(Window.partitionBy("track", "channel").orderBy(F.desc("rms"), "block")).alias("l"), F.count("*").over(Window.partitionBy("track", "channel")).alias("c"))
     return ranked.where(F.col("l") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("c") + 0.5))).drop("l", "c")
+
+
+def spectrum(samples: DataFrame, size: int = 4096, hop: int = 4096) -> DataFrame:
+    """(track, bin, db) of rows (track, channel, idx, value): the power of a Hann window of ``size`` samples every ``hop`` ones,
+    averaged over windows and channels, in decibels. A window that the samples don't fill is left out; a group is a window."""
+    placed = samples.where(F.col("idx") % hop < size).withColumn("_frame", F.floor(F.col("idx") / hop))
+    frames = placed.groupBy("track", "channel", "_frame").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s")).where(F.size("s") == size)
+    power = power_spectrum(frames.select("track", F.col("s.value").alias("samples")))
+    return power.groupBy("track", "bin").agg((10 * F.log10(F.avg("power") + 1e-30)).alias("db"))
+
+
+def mapped(tracks: DataFrame, make) -> DataFrame:
+    """(track, idx, value) of ``make``'s array for each row (track, samples: array)."""
+
+    def run(batches):
+        for batch in batches:
+            for track, values in zip(batch.column("track").to_pylist(), batch.column("samples").to_pylist()):
+                out = np.asarray(make(np.array(values or [], float)), float)
+                yield pa.RecordBatch.from_pydict({"track": [track] * len(out), "idx": range(len(out)), "value": out}, schema=pa.schema([("track", pa.int64()), ("idx", pa.int64()), ("value", pa.float64())]))
+
+    return tracks.select("track", F.col("samples").cast("array<double>")).mapInArrow(run, "track long, idx long, value double")

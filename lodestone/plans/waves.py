@@ -53,6 +53,25 @@ add("sig_spectrum_pack", _FFT + " select track, (bin * 11 // 33)::int as point,
 add("ord_topk_loud", _BLOCKS + " select track, channel, block from (select *, row_number() over (partition by track, channel order by rms desc, block) as l, count(*) over (partition by track, channel) as c from b) where l <= greatest(1, floor(0.2 * c + 0.5))")(
     lambda spark, d: signal.loudest(signal.blocks(_samples(spark, d), 16, 5)).select("track", "channel", "block")
 )
+# Windows, filters and samples of other widths; a user's events are a track's samples
+def _arrays(spark, d):
+    return _samples(spark, d).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s")).select("track", F.col("s.value").alias("samples"))
+
+
+add("sig_spectrum", _S + """, w as (select track, channel, idx // 20 as frame, idx % 20 as n, value * (0.5 - 0.5 * cos(2 * pi() * (idx % 20) / 16)) as x, count(*) over (partition by track, channel, idx // 20) as c from s where idx % 20 < 16),
+ f as (select track, frame, k::int as bin, pow(sum(x * cos(2 * pi() * k * n / 16)), 2) + pow(sum(x * sin(2 * pi() * k * n / 16)), 2) as power from w, range(9) r(k) where c = 16 group by all)
+ select track, bin, round(10 * log10(avg(power) + 1e-30), 4) as db from f group by all""")(lambda spark, d: signal.spectrum(_samples(spark, d), 16, 20).withColumn("db", F.round("db", 4)))
+_TAPS = """t as (select 31 as m, 4000.0 / 22050 as cut), u as (select i, 2 * cut * if(i * 2 = m - 1, 1, sin(pi() * 2 * cut * (i - (m - 1) / 2.0)) / (pi() * 2 * cut * if(i * 2 = m - 1, 1, i - (m - 1) / 2.0))) * (0.42 - 0.5 * cos(2 * pi() * i / (m - 1)) + 0.08 * cos(4 * pi() * i / (m - 1))) as x from t, range(31) r(i)),
+ taps as (select i, x / sum(x) over () as x from u)"""
+add("sig_lowpass", f"with {_TAPS} select i as tap, round(x, 9) as weight from taps")(lambda spark, d: spark.createDataFrame([(i, round(float(x), 9)) for i, x in enumerate(signal.sinc(max(9, int(5.5 * 22_050 / 4000) | 1), 4000 / 22_050))], "tap long, weight double"))
+add("sig_decimate", f"{_S}, {_TAPS}, o as (select track, idx as p from s where idx % 2 = 0) select o.track, p // 2 as idx, round(sum(taps.x * s.value), 4) as value from o join s on s.track = o.track and s.idx between p - 15 and p + 15 join taps on taps.i = p + 15 - s.idx group by o.track, p")(
+    lambda spark, d: signal.mapped(_arrays(spark, d), lambda x: signal.decimate(x[:, None], 22_050)).withColumn("value", F.round("value", 4))
+)
+add("sig_quantize", _S + " select track, idx, greatest(-128, least(127, floor(value / 6000.0 * 128 + 0.5)))::double as value from s")(lambda spark, d: signal.mapped(_arrays(spark, d), lambda x: signal.quantize(x / 6000, 8)))
+add("sig_resample")(lambda spark, d: signal.mapped(_arrays(spark, d), lambda x: signal.resample(x, 2)).withColumn("value", F.round("value", 4)))
+on_documents("inc_sample_hash", ", c as (select id, substring(repeat(hash, 20), 1, (20 + id % 600)::bigint) as t from track), n as (select id, t, length(t) as n from c) select id, md5(substring(t, 1, 64) || substring(t, greatest(n // 2 - 32, 0) + 1, 64) || substring(t, greatest(n - 64, 0) + 1, 64)) as sample from n",
+    lambda t: t.select("id", F.expr("cast(substring(repeat(hash, 20), 1, int(20 + id % 600)) as binary)").alias("c")).select("id", changes.sample_hash(F.col("c"), 64).alias("sample")))
+
 # Changes of the store
 on_documents("sink_header_update", "select id, path, if(id % 4 = 0, 'new ' || title, title) as title, if(id % 4 = 0, null, hash) as hash from track", lambda t: changes.header_update(t.select("id", "path", "title", "hash"), t.where("id % 4 = 0").select("id", F.concat(F.lit("new "), F.col("title")).alias("title")), ["title"]))
 on_albums("sink_deep_update", "select id, if(cutoff_hz % 3 = 0, if(cutoff_hz = 0, null, cutoff_hz::double), dr) as dr from (select distinct id, cutoff_hz, max(dr) over (partition by id) as dr from track)",
