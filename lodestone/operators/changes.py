@@ -94,3 +94,9 @@ def emptied(store: DataFrame, log: DataFrame) -> DataFrame:
 def migrate(store: DataFrame, defaults: dict) -> DataFrame:
     """Columns that the store lacks, with their defaults."""
     return store.withColumns({name: F.lit(value) for name, value in defaults.items() if name not in store.columns})
+
+
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """The table at the path, replaced as a whole. ``df`` mustn't read that path."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

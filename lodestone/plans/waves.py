@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.catalog import _A, _BLOCKS, _FOLD, _KHZ, _OPEN, _S, _samples, add, on_albums, on_documents
@@ -72,6 +74,15 @@ add("sig_resample")(lambda spark, d: signal.mapped(_arrays(spark, d), lambda x:
 on_documents("inc_sample_hash", ", c as (select id, substring(repeat(hash, 20), 1, (20 + id % 600)::bigint) as t from track), n as (select id, t, length(t) as n from c) select id, md5(substring(t, 1, 64) || substring(t, greatest(n // 2 - 32, 0) + 1, 64) || substring(t, greatest(n - 64, 0) + 1, 64)) as sample from n",
     lambda t: t.select("id", F.expr("cast(substring(repeat(hash, 20), 1, int(20 + id % 600)) as binary)").alias("c")).select("id", changes.sample_hash(F.col("c"), 64).alias("sample")))
 
+def _replaced(spark, d):
+    """A table of cover folders that is written and then replaced."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path, new = f"{root.rstrip('/')}/folders-{uuid.uuid4().hex}", table(spark, d, "orders").select(F.expr("concat('/music/', o_orderkey)").alias("folder"), F.expr("if(o_orderkey % 3 = 0, 'cover.jpg', null)").alias("cover"))
+    changes.replace_table(new.where("cover is null"), path)
+    return changes.replace_table(new, path)
+
+
+add("sink_replace_table", "select '/music/' || o_orderkey as folder, if(o_orderkey % 3 = 0, 'cover.jpg', null) as cover from orders")(_replaced)
 # Changes of the store
 on_documents("sink_header_update", "select id, path, if(id % 4 = 0, 'new ' || title, title) as title, if(id % 4 = 0, null, hash) as hash from track", lambda t: changes.header_update(t.select("id", "path", "title", "hash"), t.where("id % 4 = 0").select("id", F.concat(F.lit("new "), F.col("title")).alias("title")), ["title"]))
 on_albums("sink_deep_update", "select id, if(cutoff_hz % 3 = 0, if(cutoff_hz = 0, null, cutoff_hz::double), dr) as dr from (select distinct id, cutoff_hz, max(dr) over (partition by id) as dr from track)",
