@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows turned into Python objects at once, characters after which a slice is full, and bytes of output held back at most
 #: (one row may be longer).
 ROWS_AT_ONCE, LONG_AT_ONCE, BYTES_AT_ONCE = 256, 2 << 20, 8 << 20
+#: Characters of a text that a classifier learns from at most; longer ones are scored, not learned from.
+LEARNED = 1 << 16
 #: What a session's Arrow batches are brought down to: rows, bytes. The defaults hold up to 64 MB several times over.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
@@ -32,7 +34,8 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
     """Rows of ``schema`` that ``make()`` yields for each small slice of rows of ``columns``: at most ROWS_AT_ONCE, and no
     further row after LONG_AT_ONCE characters.
 
-    ``make`` runs once a task, on the executor. Memory depends on the longest row and not on the partition; for that the
+    ``make`` runs once a task, on the executor; it may give a second function, which yields what comes after the last
+    slice. Memory depends on the longest row and not on the partition; for that the
     session's Arrow batches are brought down to BATCH, and stay so. Columns are selected by name and renamed, so others
     of the frame can't clash."""
     conf = df.sparkSession.conf
@@ -57,7 +60,7 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
             yield rows
 
     def run(batches):
-        each = make()
+        each, last = made if isinstance(made := make(), tuple) else (made, lambda: ())
         held: list[list] = [[] for _ in arrow]
         size = 0
 
@@ -69,14 +72,18 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
             size = 0
             return out
 
-        for rows in slices(batches):
-            for made in each(rows):
-                for v, x in zip(held, made):
-                    v.append(x)
-                    if isinstance(x, (bytes, str, list)):
-                        size += len(x)
-                if size >= BYTES_AT_ONCE or len(held[0]) >= 4096:
-                    yield flush()
+        def every():
+            for rows in slices(batches):
+                yield from each(rows)
+            yield from last()
+
+        for row in every():
+            for v, x in zip(held, row):
+                v.append(x)
+                if isinstance(x, (bytes, str, list)):
+                    size += len(x)
+            if size >= BYTES_AT_ONCE or len(held[0]) >= 4096:
+                yield flush()
         if held[0]:
             yield flush()
 
@@ -86,10 +93,12 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: the one of ``spark.checkpoint.dir``.
 
-    Where that is unset (a local session, as in tests) it is set to a folder of the warehouse."""
+    A local session where that is unset, as in tests, takes a folder of its warehouse; on a cluster it must be set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not made.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set")
         root = made.get() if made.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -104,10 +113,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, learn: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, label) of at most ``per_class`` rows of labels 0 and 1 each, in the order of a hash of their key, of
-    those where ``learn`` holds. The keys are at most twice ``per_class``, which bounds what is broadcast."""
-    mine = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).select(key, label)
+    those where ``learn`` holds; of a key's several texts the least one. Texts over LEARNED characters aren't learned
+    from, so that what is brought to the driver is bounded in bytes too. The keys are at most twice ``per_class``, which
+    bounds what is broadcast."""
+    mine = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & learn).select(key, label).distinct()
     first = [mine.where(F.col(label) == c).orderBy(F.xxhash64(key), key).limit(per_class) for c in (0, 1)]
-    return docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(first[0].unionByName(first[1])), key)
+    value = F.coalesce(text, F.lit(""))
+    found = docs.select(key, value.alias("text")).where(F.length("text") <= LEARNED).join(F.broadcast(first[0].unionByName(first[1])), key)
+    return found.groupBy(key, label).agg(F.min("text").alias("text")).select(key, "text", label)
 
 
 def free(df: DataFrame, name: str) -> str:

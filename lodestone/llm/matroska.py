@@ -300,7 +300,8 @@ def feature(media: Media, sound: bytes) -> str:
     mean = float(x.mean(dtype=np.float64)) if len(x) else 0.0
     spread = float(np.sqrt(max(0.0, float((x.astype(np.float32) ** 2).mean(dtype=np.float64)) - mean * mean))) if len(x) else 0.0
     turns = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128))) if len(x) else 0
-    good = sum(place in set(media.clusters) for _, _, place in media.cues)
+    clusters = set(media.clusters)
+    good = sum(place in clusters for _, _, place in media.cues)
     return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={good};ms={media.duration:.0f};mean={mean:.3f};rms={spread:.3f};turns={turns / max(1, len(x) - 1):.4f}"
 
 

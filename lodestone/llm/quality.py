@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_rows
+from .common import free, labelled_sample, map_rows
 
 #: Filter width in bytes, number of filters, chunk length and the distance between chunk starts.
 WIDTH, FILTERS, CHUNK, STEP = 6, 12, 256, 250
@@ -133,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key
 def classify(df: DataFrame, network: Network, key: str = "doc_id", text: str = "text", least: float = 0.7, carry: bool = False) -> DataFrame:
     """(key, score, predicted) of every row from its whole text alone, or with ``carry`` all columns and these two.
     Null texts are empty, and an empty text is scored like any other; repeated rows give repeated rows; a null key
-    stays. With ``carry`` the two are named _score and _predicted, and columns of these names are replaced. The network
-    has a fixed size."""
+    stays. With ``carry`` the two are named _score and _predicted, or what common.free() makes of these where the frame
+    has such columns. The network has a fixed size."""
     sent = df.sparkSession.sparkContext.broadcast(network)
 
     def make():
@@ -146,7 +146,7 @@ def classify(df: DataFrame, network: Network, key: str = "doc_id", text: str = "
 
         return each
 
-    kept = [c for c in df.columns if c not in ("_score", "_predicted")] if carry else [key]
+    kept = df.columns if carry else [key]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[F.col(f"`{c}`") for c in kept]).schema)
-    names = ("_score", "_predicted") if carry else ("score", "predicted")
+    names = (free(df, "_score"), free(df, "_predicted")) if carry else ("score", "predicted")
     return map_rows(df, [*kept, text], f"{ddl}, {names[0]} double, {names[1]} int", make)

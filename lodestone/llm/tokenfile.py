@@ -14,24 +14,25 @@ import os
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, shared_dir
+from .common import map_rows, map_slices, shared_dir
 
 MAGIC, TAIL = b"LTOKZ001", "<QQI8s"
 #: Of a document: whether its key is null, the key, where its frame starts, the frame's bytes, ids.
 ROW = np.dtype([("null", "u1"), ("key", "<i8"), ("at", "<u8"), ("size", "<u8"), ("ids", "<u8")])
 #: Documents that the dictionary is trained on at most, in the order of a hash of their key; bytes of a dictionary.
 FIT_ROWS, DICTIONARY = 500, 64 << 10
-#: Documents a file holds about, and files at most: beyond that product files hold more.
-ROWS_PER_FILE, FILES = 4096, 10_000
+#: Documents a task writes about, tasks at most, documents of a file at most: a task that gets more writes more files.
+ROWS_PER_TASK, TASKS, ROWS_PER_FILE = 4096, 100_000, 16_384
+#: Bytes that are read at once, in whole frames (one may be longer).
+READ_AT_ONCE = 4 << 20
 LEVEL = 3
 #: Words of a worker's cache, after which it starts anew.
 CACHE_WORDS = 500_000
@@ -124,8 +125,21 @@ class TokenFile:
 
     def ids(self, i: int) -> np.ndarray:
         row = self.index[i]
-        data = self.unpack.decompress(self.source.read_at(int(row["size"]), int(row["at"])))
-        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
+        return self._ids(self.source.read_at(int(row["size"]), int(row["at"])))
+
+    def __iter__(self):
+        """(key, ids) of all documents in order; neighbouring frames are read together."""
+        first, ends = 0, (self.index["at"] + self.index["size"]).tolist()
+        starts = self.index["at"].tolist()
+        while first < len(self):
+            stop = max(first + 1, bisect_right(ends, starts[first] + READ_AT_ONCE))
+            data = memoryview(self.source.read_at(ends[stop - 1] - starts[first], starts[first]))
+            for i in range(first, stop):
+                yield self.key(i), self._ids(data[starts[i] - starts[first] : ends[i] - starts[first]])
+            first = stop
+
+    def _ids(self, frame) -> np.ndarray:
+        return np.frombuffer(self.unpack.decompress(frame), f"<u{self.width}").astype("<u4", copy=False)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -140,11 +154,11 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encodes every whole text (a null one is empty) without special tokens, appends ``end_id``, and writes files in
-    ascending order of the integer key, nulls first; equal keys are all kept, side by side. Gives (path, documents,
-    ids) of each file in that order. An empty table gives no files.
+    ascending order of the integer key, nulls first; equal keys are all kept, side by side in the order of a hash of their
+    texts. Gives (path, documents, ids) of each file in that order. An empty table gives no files.
 
-    Files are cut at quantiles of the key; a key with many rows makes its file longer. Texts are encoded and compressed
-    where they are read; only frames are shuffled, once."""
+    Rows are dealt to ranges of the key and of that hash, so that rows of one key may go to several tasks; only texts are
+    shuffled, once. A task writes one file after the other."""
     spark = df.sparkSession
     with open(tokenizer_path, "rb") as f:
         raw = f.read()
@@ -156,8 +170,6 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None =
     rows = df.count()
     if not rows:
         return []
-    files = max(1, min(FILES, -(-rows // ROWS_PER_FILE)))
-    cuts = df.agg(F.percentile_approx(key, [i / files for i in range(1, files)], 20 * files)).first()[0] or [] if files > 1 else []
     # Keys of small hashes, some multiple of FIT_ROWS of them whatever the number of rows and of tasks.
     few = F.pmod(F.xxhash64(key), F.lit(1 << 40)) <= int((1 << 40) * min(1.0, 4 * FIT_ROWS / rows))
     first = df.where(few).orderBy(F.xxhash64(key), key).limit(FIT_ROWS)
@@ -167,50 +179,49 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None =
     system, where = _open(folder)
     system.create_dir(where, recursive=True)
     _put(system, f"{where}/{digest.hex()}.zdict", [dictionary])
-    shared = spark.sparkContext.broadcast((dictionary, sorted(set(cuts))))
-
-    def encode():
-        words, (trained, bounds) = _words(sent.value, width), shared.value
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
-
-        def each(k, value):
-            data = words.encode(value or "") + tail
-            yield 0 if k is None else bisect_left(bounds, k), k, len(data) // width, packer.compress(data)
+    trained = spark.sparkContext.broadcast(dictionary)
 
-        return each
-
-    frames = map_rows(df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")), ["_key", "_text"], "file int, _key long, ids long, frame binary", encode)
-    ordered = frames.repartitionById(files, F.col("file")).sortWithinPartitions("file", F.col("_key").asc_nulls_first(), "ids", "frame")
+    def make():
+        from pyspark import TaskContext
 
-    def save(batches):
         own, place = _open(folder)
-        out = number = temporary = None
-        index, at, total = [], 0, 0
+        words, task = _words(sent.value, width), TaskContext.get().partitionId()
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained.value) if trained.value else None)
+        out, temporary, index, at, number = None, "", [], 0, 0
 
         def close():
-            table = np.array(index, ROW).tobytes()
-            out.write(table + struct.pack(TAIL, len(index), at, zlib.crc32(table), MAGIC))
+            nonlocal out, number
+            table = np.array(index, ROW)
+            data = table.tobytes()
+            out.write(data + struct.pack(TAIL, len(index), at, zlib.crc32(data), MAGIC))
             out.close()
-            own.move(temporary, f"{place}/{number:06d}.tokz")
-            return pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int32()), "documents": pa.array([len(index)], pa.int64()), "ids": pa.array([total], pa.int64())})
-
-        for batch in batches:
-            for f, k, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if f != number:
-                    if out is not None:
-                        yield close()
-                    number, temporary = f, f"{place}/{f:06d}.{uuid.uuid4().hex}"
-                    out, index, total = own.open_output_stream(temporary), [], 0
+            name = f"{task:06d}-{number:06d}.tokz"
+            own.move(temporary, f"{place}/{name}")
+            out, number = None, number + 1
+            return name, len(index), int(table["ids"].sum())
+
+        def each(given):
+            nonlocal out, temporary, index, at
+            for k, value in given:
+                if out is None:
+                    temporary, index, at = f"{place}/{task:06d}.{uuid.uuid4().hex}", [], len(MAGIC) + 33
+                    out = own.open_output_stream(temporary)
                     out.write(MAGIC + bytes([width]) + digest)
-                    at = len(MAGIC) + 33
+                data = words.encode(value or "") + tail
+                frame = packer.compress(data)
                 out.write(frame)
-                index.append((k is None, k or 0, at, len(frame), n))
-                at, total = at + len(frame), total + n
-        if out is not None:
-            yield close()
+                index.append((k is None, k or 0, at, len(frame), len(data) // width))
+                at += len(frame)
+                if len(index) >= ROWS_PER_FILE:
+                    yield close()
+
+        return each, lambda: [close()] if out is not None else []
 
-    made = ordered.mapInArrow(save, "file int, documents long, ids long").collect()
-    return [(f"{folder}/{r.file:06d}.tokz", r.documents, r.ids) for r in sorted(made)]
+    named = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    order = [F.col("_key").asc_nulls_first(), F.xxhash64("_text").asc()]
+    dealt = named.repartitionByRange(max(1, min(TASKS, -(-rows // ROWS_PER_TASK))), *order).sortWithinPartitions(*order)
+    made = map_slices(dealt, ["_key", "_text"], "file string, documents long, ids long", make).collect()
+    return [(f"{folder}/{r.file}", r.documents, r.ids) for r in sorted(made)]
 
 
 def read(spark: SparkSession, files: list[tuple[str, int, int]], key: str = "doc_id") -> DataFrame:
@@ -225,10 +236,8 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], key: str = "doc
 
     def make():
         def each(path, base):
-            source = TokenFile(*_open(path))
-            for i in range(len(source)):
-                ids = source.ids(i)
-                yield source.key(i), base, len(ids), ids.tobytes()
+            for k, ids in TokenFile(*_open(path)):
+                yield k, base, len(ids), ids.tobytes()
                 base += len(ids)
 
         return each
