@@ -141,7 +141,67 @@ def test_token_files(spark, tmp_path):
             assert ids[:-1].tolist() == library.encode(texts[r.doc_id - 5], add_special_tokens=False).ids
         at += len(ids)
     assert tokenfile.write(df.limit(0), P.path("byte_bpe_50k.json"), str(tmp_path), 2) == []
+    assert [len(f) for f in map(lambda f: tokenfile.TokenFile(*tokenfile._open(f[0])), files)] == [f[1] for f in files]
+    one = tokenfile.TokenFile(*tokenfile._open(files[0][0]))
+    assert [one.ids(i).tolist() for i in range(len(one))] == [ids.tolist() for _, ids in one]
     whole = open(files[0][0], "rb").read()
     open(files[0][0], "wb").write(whole[:-40] + b"x" + whole[-39:])
     with pytest.raises(ValueError):
         tokenfile.TokenFile(*tokenfile._open(files[0][0]))
+
+
+def test_token_files_of_hot_keys_and_long_texts(spark, tmp_path, monkeypatch):
+    """A key with a third of the rows goes to several tasks and files; clashing names and repeated rows change nothing."""
+    monkeypatch.setattr(tokenfile, "ROWS_PER_TASK", 20)
+    rng = random.Random(7)
+    rows = [(7 if i % 3 == 0 else i, " ".join(rng.choices(["one", "two", "the", "é"], k=rng.randint(0, 30))), i, "x") for i in range(300)]
+    rows += [(400, "a b " * 100_000, 0, "y"), (9, "same", 1, "z"), (9, "same", 1, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int, frame string")
+    files = tokenfile.write(df.repartition(4), P.path("byte_bpe_50k.json"), str(tmp_path), 2)
+    assert len(files) > 8 and sum(f[1] for f in files) == len(rows) and max(f[1] for f in files) < 100
+    got = sorted(tokenfile.read(spark, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = sorted((k, (*library.encode(t, add_special_tokens=False).ids, 2)) for k, t, *_ in rows)
+    assert sorted((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in got) == want
+
+
+def test_query_token_files(spark):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    texts, at = dict(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()), 0
+    got = sorted(queries.op6_tokenfiles(spark, DIR).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(texts)
+    for r in got:
+        ids = np.array([*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_bpe_repeated_rows_and_names(spark, codec):
+    df = spark.createDataFrame([(1, "same words", b"x", 1), (1, "same words", b"x", 1)], "doc_id long, text string, ids binary, decoded int")
+    got = bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert len(got) == 2 and len({bytes(r.ids) for r in got}) == 1
+
+
+def test_many_tables_at_once_are_those_of_one_piece(codec):
+    rng = random.Random(9)
+    pieces = [bytes(rng.choice(b"abcdetinos \xc3\xa9") for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    lengths = np.array([*map(len, pieces)])
+    ids, counts = codec.tables.encode(np.frombuffer(b"".join(pieces), np.uint8), lengths)
+    cuts = [0, *counts.tolist()]
+    for piece, a, b in zip(pieces, cuts, cuts[1:]):
+        assert ids[a:b].tolist() == bpe.PrefixTable(codec.vocabulary, piece).tokens()
+
+
+def test_words_come_back_from_an_old_generation(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    fresh, rng = bpe.Codec(codec.vocabulary, P.PATTERN), random.Random(10)
+    for text in some(300, rng) + [" ".join(f"w{rng.randrange(200)}" for _ in range(40)) for _ in range(200)]:
+        assert fresh.encode(text) == codec.encode(text)
+
+
+def test_matroska_empty_table_and_null_key(spark):
+    df = spark.createDataFrame([(None, "abc")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_bytes) for r in matroska.digests(df).collect()] == [(None, 3)]
+    assert matroska.digests(df.limit(0)).count() == 0 and matroska.packet_table(matroska.store(df.limit(0))).count() == 0

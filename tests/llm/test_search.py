@@ -96,7 +96,39 @@ def test_site_style(spark):
     assert got[20] == ("", 0) and got[21][0] == "A & B c d\n1\n2" and got[None] == ("", 0)
     assert sitestyle.main_text(df.limit(0)).count() == 0
     for page, text in (("<p>a<p>b", "a\nb"), ("<div>x<!-- y", "x"), ("<script>if(a<b)</script>z", "z"), ("a < b", "a < b"), ("<p hidden>q</p>r", "r")):
-        assert sitestyle.extract(page, set()) == text
+        assert sitestyle.extract(page) == text
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    menu = "".join(f"<span>Link {j}</span> " for j in range(12))
+    page = lambda i: f"<body><div class=x>{menu}{i}</div><article><p>{words(i, 40)}</p><div class=y>Read on and share this page</div><p>{words(-i, 9)}</p></article></body>"
+    plain = lambda i: f"<body><div class=x><p>{menu}{i}</p><p>All about us</p></div><section><p>{words(i, 40)}</p></section></body>"
+    rows = [(i, "http://a/", page(i)) for i in range(8)] + [(20 + i, "http://b/", plain(i)) for i in range(8)]
+    # Copies of one page, which the tree would take whole, and a host of two pages, of which it says nothing.
+    rows += [(40 + i, "http://c/", page(77)) for i in range(5)] + [(60 + i, "http://d/", plain(i)) for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitestyle.main_text(df).collect()}
+    assert all(got[i] == words(i, 40) + "\n" + words(-i, 9) for i in range(8))
+    assert all(got[20 + i] == words(i, 40) for i in range(8))
+    assert len({got[40 + i] for i in range(5)}) == 1 and words(77, 40) in got[40] and "Link 3" in got[60]
+    without = {r.page_id: r.text for r in sitestyle.main_text(df, tree=sitestyle.style_tree(df).limit(0)).collect()}
+    assert all(without[i] != got[i] for i in [*range(8), *range(20, 28)]) and without[60] == got[60]
+    monkeypatch.setattr(sitestyle, "BROADCAST_ROWS", 1)
+    joined = sitestyle.main_text(df.unionByName(df.where("page_id < 3")))
+    assert sorted((r.page_id, r.text) for r in joined.collect()) == sorted([*got.items(), *((i, got[i]) for i in range(3))])
+
+
+def test_the_tree_finds_low_branches_in_the_table(spark):
+    tree = sitestyle.style_tree(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert sitestyle.low_paths(tree).count() > 0
+
+
+def test_long_and_deep_pages(spark):
+    deep = "<div>" * 3000 + "bottom" + "</div>" * 3000
+    df = spark.createDataFrame([(1, "http://h/", deep), (2, "http://h/", "<p>" + "word " * 200_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in sitestyle.main_text(df).collect()}
+    assert got[1].text == "bottom" and got[2].n_chars == 200_000 * 5 - 1
 
 
 def test_site_style_query(spark):

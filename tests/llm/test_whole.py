@@ -45,3 +45,115 @@ def test_benchmark_stage_judges_rows_and_not_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
     left = corpus_pipeline.drop_benchmark(spark, docs, "/root/testdata/sf0.001")
     assert left.columns == docs.columns and sorted(r.n for r in left.collect()) == [2, 3, 5, 6]
+
+
+def test_jaccard_ships_in_proportion_where_only_boilerplate_is_shared(spark, monkeypatch):
+    """Pairs of similarity 0.4 and no link at all: what is shipped to be verified mustn't grow with their square."""
+    from lodestone.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    shipped, verify, rng = [], jaccard._verify, random.Random(4)
+    monkeypatch.setattr(jaccard, "_verify", lambda tasks, threshold: (shipped.append(tasks.count()), verify(tasks, threshold))[1])
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    for n in (250, 1000):
+        rows = [(i, " ".join(base + [f"z{rng.randrange(10**9)}" for _ in range(68)])) for i in range(n)]
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.where("n_links > 0 or class_id <> doc_id").count() == 0
+    assert shipped[1] < 8 * shipped[0] and shipped[1] < 4 * 1000
+
+
+def test_jaccard_finds_links_in_buckets_too(spark, monkeypatch):
+    """Near copies within a family that shares boilerplate, cut into pairs of buckets; repeated rows of one key."""
+    from lodestone.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    split, seen = jaccard._split, []
+    monkeypatch.setattr(jaccard, "_split", lambda *a: seen.append(split(*a)) or seen[-1])
+    rng = random.Random(6)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(100)], []
+    for i in range(150):
+        own = base + [f"z{rng.randrange(10**9)}" for _ in range(60)]
+        rows.append((3 * i, " ".join(own)))
+        if i % 5 == 0:
+            rows += [(3 * i + 1, " ".join(own[:-3] + ["q"]))] * (1 + (i % 2))
+        if i % 10 == 0:
+            rows.append((3 * i + 2, " ".join(["p", *own[:-1]])))
+    from test_search import linked
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(df).collect()) == linked(rows)
+    assert seen[0].where("second >= 0").count() > 0 and seen[0].where("second < 0").count() > 0
+
+
+def test_each_size_class_is_searched_on_its_own(spark):
+    from lodestone.llm import decontaminate
+
+    rng = random.Random(8)
+    made = {n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (5, 7, 12, 30, 90, 300)}
+    items = spark.createDataFrame([(n, t) for n, t in made.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(n, f"before {t} after " + "z " * (4000 - n)) for n, t in made.items()] + [(1, made[300][:200])], "doc_id long, text string")
+    got = decontaminate.search(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(n, n) for n in sorted(made)]
+    sketch = decontaminate.sketches(items).cache()
+    classes = {r.item: r["class"] for r in sketch.select("item", "class").distinct().collect()}
+    assert len(set(classes.values())) == 6
+    named = docs.selectExpr("doc_id as doc", "1L as of", "text as t")
+    for n in made:  # without a class its item isn't found, and the others are
+        left = decontaminate.candidates(named, sketch.where(f"class <> {classes[n]}")).collect()
+        assert {r.item for r in left if r.doc == r.item} == set(made) - {n}
+    # A short document is a candidate of no class that it is too small for, whatever hashes it shares.
+    assert [r for r in decontaminate.candidates(named, sketch).collect() if r.doc == 1] == []
+
+
+NAMES = "_row doc item hash _mark _key _text _base _all _hex _TOKEN _access _assign _score _predicted unit size bands n root class_id score ids frame"
+
+
+def test_stages_with_clashing_names(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = NAMES.split()
+    docs = spark.createDataFrame([(1, "fine words are here", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, docs, "/root/testdata/sf0.001")
+        assert left.columns == docs.columns and left.collect() == docs.collect(), name
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = corpus_pipeline.keep_quality(spark, real, "/root/testdata/sf0.001")
+    more = real.selectExpr("*", "1 as _score", "2 as _predicted", "3 as score")
+    again = corpus_pipeline.keep_quality(spark, more, "/root/testdata/sf0.001")
+    assert again.columns == more.columns and sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in kept.collect()) and {tuple(r)[-3:] for r in again.collect()} == {(1, 2, 3)}
+
+
+def test_stages_on_empty_tables_nulls_and_repeats(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    where = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{where}/documents.parquet")
+    odd = spark.createDataFrame([(None, None), (1, None), (1, None), (2, ""), (3, "long " * 100_000), (3, "other text of that id"), (3, "other text of that id")], "doc_id long, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, real.limit(0), where).count() == 0, name
+        out = stage(spark, odd, where)
+        assert name == "bpe" or out.columns == odd.columns
+        rows = out.collect()
+        if name == "near_copies":  # texts without words are copies of each other; a null id stays
+            assert sorted(((r.doc_id or 0), len(r.text or "")) for r in rows) == [(0, 0), (1, 0), (3, 21), (3, 500_000)]
+        elif name != "quality":
+            assert len(rows) == 7, name
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs that are hot keys, a long path, and large graphs' way of looking for hot keys in both steps."""
+    from lodestone.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "TASK_EDGES", 50)
+    rng = random.Random(14)
+    edges = [(1000, i) for i in range(60)] + [(i, i + 1) for i in range(2000, 2060)] + [(rng.randrange(3000, 3080), rng.randrange(3000, 3080)) for _ in range(60)] + [(5, 2000), (7, 7)]
+    root = {n: n for e in edges for n in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    alone = {a for a, b in edges if a == b} - {n for a, b in edges if a != b for n in (a, b)}
+    want = sorted((n, r) for n, r in root.items() if n not in alone)
+    for large in (10**9, 0):
+        monkeypatch.setattr(jaccard, "LARGE", large)
+        got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted((r.node, r.root) for r in got.collect()) == want
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
