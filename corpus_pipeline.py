@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, jaccard, quality, secrets
-from lodestone.llm.common import checkpointed, one_in, shared_dir, table
+from lodestone.llm.common import checkpointed, free, one_in, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, fitted on these documents' labels, doesn't reject."""
     network = quality.train(docs, table(spark, sf_dir, "labels"), ~one_in("doc_id", 4, 2))
-    return quality.classify(docs, network, carry=True).where("_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.classify(docs, network, carry=True).where(F.col(free(docs, "_predicted")) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     least = jaccard.join(docs, carry=True).where("doc_id = class_id").groupBy("_root", "doc_id", "_unit", "_mark").agg(F.count("*").alias("rows"))
     first = checkpointed(least.groupBy("_root").agg(F.min(F.struct("doc_id", "_unit", "_mark", "rows")).alias("s")).select("s.doc_id", "s._mark", "s.rows"))
     count, most = first.agg(F.count("*"), F.max("rows")).first()
-    marked = docs.withColumn("_mark", F.xxhash64("text"))
-    kept = marked.join(jaccard.small(first.select("doc_id", "_mark"), count), ["doc_id", "_mark"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = free(docs, "_mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    kept = marked.join(jaccard.small(first.select("doc_id", F.col("_mark").alias(mark)), count), ["doc_id", mark], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     if (most or 1) > 1:
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
