@@ -157,3 +157,54 @@ def test_components_with_hubs(spark, monkeypatch):
         got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
         assert sorted((r.node, r.root) for r in got.collect()) == want
     assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def redacted(text, spans):
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "[secret]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_secrets_of_texts_with_very_many_matches(spark):
+    import time
+
+    from test_search import brute_secrets
+
+    bits = ["token=abc123 ", "é\n", "AKIA" + "Q7" * 10 + "/", "x=", "0f" * 13 + " ", "Zq9wK3pLm8RtY5vB2nXc7 ", "words in between 😀 "]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in (3, 40, 700, 5000)] + ["", "plain", "x" * 30_000 + "token=abc123"]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6, 7) for i, t in enumerate(texts)], "doc_id long, text string, _base int, _all int, _hex int, _TOKEN int, _plain int, _found int, _cuts int")
+    found = {r.doc_id: r for r in secrets.report(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute_secrets(t)
+        assert (found[i].n_assign, found[i].n_access, found[i].n_hex, found[i].n_markov, found[i].base_sha256, found[i].spans) == want
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    for r in clean.collect():
+        spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in found[r.doc_id].spans.split(",") if x)]
+        assert r.text == redacted(texts[r.doc_id], spans) and tuple(r)[2:] == (1, 2, 3, 4, 5, 6, 7)
+    took = []
+    for n in (2_000, 100_000):
+        many = spark.createDataFrame([(1, "token=abc123 Zq9wK3pLm8RtY5vB2nXc7 " * n)], "doc_id long, text string")
+        began = time.time()
+        assert secrets.report(many).first().n_assign == n
+        assert secrets.redact(many).selectExpr("length(text) as n").first().n == 18 * n
+        took.append(time.time() - began)
+    assert took[1] < 50 * took[0], took
+
+
+def test_recall_and_false_alarms_on_documents(spark):
+    """Random tokens planted in documents are found, and next to nothing is in documents as they are."""
+    rng = random.Random(12)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
+    plain = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).agg({"n_markov": "sum"}).first()[0]
+    planted = []
+    for k, t in rows[:400]:
+        words = t.split(" ")
+        words.insert(rng.randrange(len(words) + 1), "".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randint(28, 44))))
+        planted.append((k, " ".join(words)))
+    found = secrets.report(spark.createDataFrame(planted, "doc_id long, text string"))
+    assert plain <= 0.002 * len(rows) and found.where("n_markov + n_hex > 0").count() >= 0.97 * len(planted)
