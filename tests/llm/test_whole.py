@@ -199,12 +199,13 @@ def test_secrets_of_texts_with_very_many_matches(spark):
 def test_recall_and_false_alarms_on_documents(spark):
     """Random tokens planted in documents are found, and next to nothing is in documents as they are."""
     rng = random.Random(12)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()]
-    plain = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).agg({"n_markov": "sum"}).first()[0]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    plain = sum(r.n_markov for r in secrets.report(docs.repartition(8)).collect())
     planted = []
     for k, t in rows[:400]:
         words = t.split(" ")
         words.insert(rng.randrange(len(words) + 1), "".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randint(28, 44))))
         planted.append((k, " ".join(words)))
-    found = secrets.report(spark.createDataFrame(planted, "doc_id long, text string"))
-    assert plain <= 0.002 * len(rows) and found.where("n_markov + n_hex > 0").count() >= 0.97 * len(planted)
+    found = secrets.report(spark.createDataFrame(planted, "doc_id long, text string").repartition(8)).collect()
+    assert plain <= 0.002 * len(rows) and sum(r.n_markov + r.n_hex > 0 for r in found) >= 0.97 * len(planted)
