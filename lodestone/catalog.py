@@ -146,7 +146,7 @@ on_albums("fn_tag_normalise", """, g as (select path, i as place, ['Title', 'ART
  min_by(v, place) filter (n in ('ORIGINALDATE', 'YEAR')) as date, null::varchar as genre, coalesce(bool_or(n = 'COMPILATION' and v in ('1', 'true')), false) as compilation
  from (select *, coalesce(try_cast(regexp_extract(v, '^\\d{1,4}') as int), 0) as x, coalesce(try_cast(regexp_extract(v, '^[^/]*/(\\d{1,4})', 1) as int), 0) as y from k where n <> 'COMMENT') group by path""", lambda t: media.normalised(t.select("path", "id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("place")).selectExpr(
     "path", "place", "element_at(array('Title', 'ARTIST', 'album_artist', 'Band', 'track', 'TotalTracks', 'DiscNumber', 'originaldate', 'Compilation', 'Year', 'title', 'comment'), int((id + place * 5) % 12 + 1)) as name",
-    "if((id + place) % 7 = 0, '  ', element_at(array('  one ', '3/12', 'true', '7', '1', '0'), int((id div 3 + place) % 6 + 1))) as value")))
+    "if((id + place) % 7 = 0, '  ', element_at(array('  one ', '3/12', 'true', '7', '1', '0'), int((id % 18 div 3 + place) % 6 + 1))) as value")))
 
 # Entity resolution and groups
 on_documents("join_identical", ", h as (select id, min(id) over (partition by hash, size) as a from track) select a, id as b, 0 as kind from h where id <> a", lambda t: duplicates.star(t, ["hash", "size"], duplicates.IDENTICAL))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The numbers that a track's id is made of, and what each counts.
+_PARTS_OF_ID = {"l_orderkey": 10_000_000_000_000, "l_linenumber": 1_000_000_000_000, "l_partkey": 100_000, "l_suppkey": 1}
+
+
+def _track_id(lines: DataFrame) -> Column:
+    """The SQL's number: a bigint, or where that overflows for a line of the table, the same number as decimal(38,0)."""
+    near = " or ".join(f"{c} not between {-(2**61 // unit)} and {2**61 // unit - 1}" for c, unit in _PARTS_OF_ID.items())
+    narrow, *more = [f"try_multiply(cast({c} as bigint), {unit})" for c, unit in _PARTS_OF_ID.items()]
+    for part in more:
+        narrow = f"try_add({narrow}, {part})"
+    known = " and ".join(f"{c} is not null" for c in _PARTS_OF_ID)
+    # Without a part beyond a quarter of the range, which the files' statistics tell, no line is read for this.
+    fits = lines.where(near).where(f"{known} and {narrow} is null").isEmpty()
+    return F.expr(" + ".join(f"cast({c} as {'bigint' if fits else 'decimal(38,0)'}) * {unit}" for c, unit in _PARTS_OF_ID.items())).cast("bigint" if fits else "decimal(38,0)")
+
+
 def album_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a folder and its lines are the tracks, with gaps, repeats and mixed values."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    return lines.select(
-        F.expr("l_orderkey * 10000000000000 + l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("id"),
+    lines = table(spark, sf_dir, "lineitem")
+    number = _track_id(lines)
+    return lines.join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey")).select(
+        number.alias("id"),
         F.expr("concat('/music/', l_orderkey)").alias("folder"),
         F.expr("concat('/music/', l_orderkey, '/', l_linenumber, '-', l_partkey, '-', l_suppkey, if(l_partkey % 5 = 0, '.mp3', '.flac'))").alias("path"),
         F.expr("cast(l_extendedprice * 100 as bigint)").alias("size"),
