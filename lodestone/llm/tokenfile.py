@@ -35,7 +35,7 @@ ROWS_PER_TASK, TASKS, ROWS_PER_FILE = 4096, 100_000, 16_384
 READ_AT_ONCE = 4 << 20
 LEVEL = 3
 #: Words of a worker's cache, after which it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 class Words:

@@ -220,3 +220,17 @@ def test_filters_on_redacted_texts(spark):
     assert clean.where("text like '%[secret]%' and doc_id < 5").count() == 5
     plan = clean.where("n <> length(text)")._jdf.queryExecution().optimizedPlan()
     assert len(plan.toString()) < 10_000_000
+
+
+def test_words_of_many_texts_are_encoded_once():
+    """The library is called for 600,000 different words the first time only, and then for first words alone."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from lodestone.llm import tokenfile
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        words = tokenfile.Words(f.read(), 2)
+    texts = [" ".join(["first", *(f"w{i}" for i in range(at, at + 10_000))]) for at in range(0, 600_000, 10_000)]
+    before = [words.encode(t) for t in texts]
+    library, asked = words._ids, []
+    words._ids = lambda text: asked.append(text) or library(text)
+    assert [words.encode(t) for t in texts] == before and set(asked) == {"first"}
