@@ -87,7 +87,8 @@ def lead_artist(artist: Column) -> Column:
 
 def number_pair(value: Column) -> tuple[Column, Column]:
     """The number and the total of "3/12"; leading digits, at most four, else 0."""
-    number = lambda v: F.coalesce(F.expr("try_cast(null as int)"), F.regexp_extract(F.trim(v), r"^(\d{1,4})", 1).try_cast("int"), F.lit(0))
+    # The zero in front stands for no digits: a cast that fails is slow.
+    number = lambda v: F.coalesce(F.concat(F.lit("0"), F.regexp_extract(F.trim(v), r"^(\d{1,4})", 1)).cast("int"), F.lit(0))
     return number(F.split_part(value, F.lit("/"), F.lit(1))), number(F.split_part(value, F.lit("/"), F.lit(2)))
 
 
