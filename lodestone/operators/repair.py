@@ -48,13 +48,13 @@ def split_edits(tracks: DataFrame, folders: DataFrame) -> DataFrame:
     return _edits(each, album=F.when(F.col("albums") > 1, other(F.col("album"), F.col("m.v"))), album_artist=other(F.col("album_artist"), F.col("target")), compilation=F.when(F.col("target") == VARIOUS, "1"))
 
 
-def _sourced(tracks: DataFrame) -> DataFrame:
-    """Tracks with what names and siblings say: from_number, from_title, from_album, from_artist."""
+def _sourced(tracks: DataFrame, wanted: str = "true") -> DataFrame:
+    """The wanted tracks with what names and siblings, wanted or not, say: from_number, from_title, from_album, from_artist."""
     artist, album = names.folder_name(F.col("folder"))
-    known = tracks.groupBy("folder").agg(F.count_distinct("artist").alias("artists"), F.min("artist").alias("one"))
+    known = tracks.groupBy("folder").agg(F.min("artist").alias("one"), F.max("artist").alias("last"))
     known = known.join(mode(tracks, F.col("album_artist"), "aa"), "folder", "left").join(mode(tracks, F.col("album"), "al"), "folder", "left")
-    known = known.select("folder", F.coalesce("aa.v", F.when(F.col("artists") == 1, F.col("one")), artist).alias("known"), F.coalesce("al.v", album).alias("from_album"))
-    each = tracks.join(known, "folder")
+    known = known.select("folder", F.coalesce("aa.v", F.when(F.col("one") == F.col("last"), F.col("one")), artist).alias("known"), F.coalesce("al.v", album).alias("from_album"))
+    each = tracks.where(wanted).join(known, "folder")
     number, title = names.file_name(fn.file_name(), F.col("known"))
     return each.withColumns({"from_number": F.nullif(number, F.lit(0)), "from_title": title, "from_artist": F.nullif(F.coalesce("album_artist", "known"), F.lit(VARIOUS))})
 
@@ -62,7 +62,8 @@ def _sourced(tracks: DataFrame) -> DataFrame:
 def missing_edits(tracks: DataFrame) -> DataFrame:
     """Missing titles and numbers from file names, albums and artists from siblings, then from folder names."""
     gap = lambda field, source: F.when(F.col(field).isNull(), F.col(source))
-    return _edits(_sourced(tracks), title=gap("title", "from_title"), track=F.when(F.col("track") == 0, F.col("from_number")), album=gap("album", "from_album"), artist=gap("artist", "from_artist"))
+    each = _sourced(tracks, "title is null or track = 0 or album is null or artist is null")
+    return _edits(each, title=gap("title", "from_title"), track=F.when(F.col("track") == 0, F.col("from_number")), album=gap("album", "from_album"), artist=gap("artist", "from_artist"))
 
 
 def unknown(tracks: DataFrame) -> DataFrame:

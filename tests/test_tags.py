@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import tracks as fn
+from lodestone.operators import repair
 from lodestone.sources import media
 from test_catalog import DIR
 
@@ -44,3 +45,15 @@ def test_number_pair_without_digits(spark):
     values = ["3/12", "x", "", "/", "12345/99999", " 07 / 8", None, "1/", "/2", "-1/3"]
     frame = spark.createDataFrame([(v,) for v in values], "v string")
     assert [tuple(r) for r in frame.select(*fn.number_pair(F.col("v"))).collect()] == [(3, 12), (0, 0), (0, 0), (0, 0), (1234, 9999), (7, 8), (0, 0), (1, 0), (0, 2), (0, 3)]
+
+
+def test_only_tracks_that_lack_something_are_looked_up(spark):
+    fields = "id long, folder string, path string, disc int, track int, title string, album string, artist string, album_artist string"
+    rows = [(1, "/a/X - Y", "/a/X - Y/01 one.flac", 1, 1, "one", "al", "p", None), (2, "/a/X - Y", "/a/X - Y/02 two.flac", 1, 2, None, None, None, None), (3, "/b", "/b/03 three.flac", 1, 0, "t", None, "p", None), (4, "/b", "/b/04 four.flac", 1, 4, "t", None, None, None),
+            (5, "/b", "/b/5 five.flac", 1, 5, "t", "l", "q", None)]
+    edits = repair.missing_edits(spark.createDataFrame(rows, fields))
+    # The artists of /b are several, those of /a's complete track tell the other one's.
+    assert sorted(map(tuple, edits.collect())) == [(2, "album", "al"), (2, "artist", "p"), (2, "title", "two"), (3, "album", "l"), (3, "track", "3"), (4, "album", "l")]
+    plan = edits._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(title" in [line for line in plan.split("\n") if "Filter" in line and "track" in line and " OR " in line][0]
+    assert "count(distinct" not in plan
