@@ -144,7 +144,7 @@ on_albums("fn_tag_normalise", """, g as (select path, i as place, ['Title', 'ART
  coalesce(min_by(x, place) filter (n = 'TRACK' and x > 0), 0) as track, coalesce(min_by(case when n = 'TOTALTRACKS' then x else y end, place) filter ((n = 'TRACK' and y > 0) or (n = 'TOTALTRACKS' and x > 0)), 0) as track_total,
  coalesce(min_by(x, place) filter (n = 'DISCNUMBER' and x > 0), 0) as disc, coalesce(min_by(y, place) filter (n = 'DISCNUMBER' and y > 0), 0) as disc_total,
  min_by(v, place) filter (n in ('ORIGINALDATE', 'YEAR')) as date, null::varchar as genre, coalesce(bool_or(n = 'COMPILATION' and v in ('1', 'true')), false) as compilation
- from (select *, coalesce(try_cast(regexp_extract(v, '^\\d{1,4}') as int), 0) as x, coalesce(try_cast(regexp_extract(v, '^[^/]*/(\\d{1,4})', 1) as int), 0) as y from k where n <> 'COMMENT') group by path""", lambda t: media.normalised(t.groupBy("path").agg(F.min("id").alias("id")).select("path", F.expr("""transform(sequence(0, 5), place -> struct(
+ from (select *, coalesce(try_cast(regexp_extract(v, '^\\d{1,4}') as int), 0) as x, coalesce(try_cast(regexp_extract(v, '^[^/]*/(\\d{1,4})', 1) as int), 0) as y from k where n <> 'COMMENT') group by path""", lambda t: media.normalised(t.groupBy("path").agg(F.min("id").alias("id")).select("path", F.expr("if(id between -1000 and 1000, int(id), int(id % 252) + if(id < 0, -252, 0))").alias("id")).select("path", F.expr("""transform(sequence(0, 5), place -> struct(
     element_at(array('Title', 'ARTIST', 'album_artist', 'Band', 'track', 'TotalTracks', 'DiscNumber', 'originaldate', 'Compilation', 'Year', 'title', 'comment'), int((id + place * 5) % 12 + 1)) as name,
     if((id + place) % 7 = 0, '  ', element_at(array('  one ', '3/12', 'true', '7', '1', '0'), int((id % 18 div 3 + place) % 6 + 1))) as value))""").alias("tags"))))
 
