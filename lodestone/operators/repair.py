@@ -88,13 +88,12 @@ def route(findings: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def edit_comments(comments: Column, field: str, spellings: list[str], value: Column) -> Column:
-    """An array of "key=value" with one field set: the first spelling is replaced, others go; a null value removes all."""
-    key = lambda c: F.upper(F.substring_index(c, "=", 1))
-    mine = lambda c: key(c).isin(spellings)
-    entry = F.concat(F.lit(f"{field}="), value)
-    first = F.array_position(F.transform(comments, mine), True)
-    placed = F.filter(F.transform(comments, lambda c, i: F.when((i + 1 == first) & value.isNotNull(), entry).when(~mine(c), c)), lambda c: c.isNotNull())
-    return F.when((first == 0) & value.isNotNull(), F.concat(comments, F.array(entry))).otherwise(placed)
+    """An array of "key=value" with one field set: the first spelling (in upper case) is replaced, others go; a null value removes all."""
+    # One pass over the comments, each looked at by itself. Own ones become a bare key, which is an own one wherever it stands;
+    # another one at the end gives a new comment its place. Then the value goes before the first, and bare keys go.
+    own = F.lit(spellings[0])
+    marked = F.concat(F.transform(comments, lambda c: F.when(F.upper(F.substring_index(c, "=", 1)).isin(spellings), own).otherwise(c)), F.array(own))
+    return F.array_remove(F.array_insert(marked, F.array_position(marked, own).cast("int"), F.coalesce(F.concat(F.lit(f"{field}="), value), own)), own)
 
 
 def place(path: Column, volume: Column, batch: Column, hidden: str = ".aside") -> Column:
