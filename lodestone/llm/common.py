@@ -30,8 +30,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return map_slices(df, columns, schema, one_by_one)
 
 
-def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[tuple]], Iterable[tuple]]]) -> DataFrame:
-    """Rows of ``schema`` that ``make()`` yields for each small slice of rows of ``columns``: at most ROWS_AT_ONCE, and no
+def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[list[tuple]], Iterable[tuple]]], rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """Rows of ``schema`` that ``make()`` yields for each small slice of rows of ``columns``: at most ``rows_at_once``, and no
     further row after LONG_AT_ONCE characters.
 
     ``make`` runs once a task, on the executor; it may give a second function, which yields what comes after the last
@@ -53,7 +53,7 @@ def map_slices(df: DataFrame, columns: list[str], schema: str, make: Callable[[]
                 for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     rows.append(row)
                     size += sum(len(x) for x in row if isinstance(x, (bytes, str, list)))
-                    if len(rows) >= ROWS_AT_ONCE or size >= LONG_AT_ONCE:
+                    if len(rows) >= rows_at_once or size >= LONG_AT_ONCE:
                         yield rows
                         rows, size = [], 0
         if rows:

@@ -11,12 +11,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +38,56 @@ ROWS_PER_TASK, TASKS, ROWS_PER_FILE = 4096, 100_000, 16_384
 #: Bytes that are read at once, in whole frames (one may be longer).
 READ_AT_ONCE = 4 << 20
 LEVEL = 3
-#: Words of a worker's cache, after which it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words of a worker's cache and their characters, after which it starts anew. The same holds for parts of words.
+CACHE_WORDS, CACHE_CHARACTERS = 1_000_000, 32_000_000
+#: Texts whose words are numbered at once, at most; words that the library gets at once (more take longer each).
+TEXTS_AT_ONCE, AT_ONCE = 1024, 128
+#: Letters, white space beside spaces, and the tokenizer's pattern on texts of COMMON characters alone. Others are left out, as
+#: Python's classes and the library's may differ on them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481"
+EDGES = ["  ", " \t", " \n", " \r", "\t ", "\n ", "\r "]
+COMMON = re.compile(rf"[ \t\n\r!-~\u2010-\u2027{_LETTERS}]*")
+PART = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+
+
+class Rows:
+    """Arrays of ids end to end in one array, by their number."""
+
+    def __init__(self, kind: str):
+        self.flat, self.starts, self.count = np.empty(1 << 16, kind), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> range:
+        """Numbers of the new arrays."""
+        at, ends = int(self.starts[self.count]), np.cumsum(sizes)
+        if at + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (at + len(flat)))
+        if self.count + len(sizes) >= len(self.starts):
+            self.starts = np.resize(self.starts, 2 * (self.count + len(sizes)))
+        self.flat[at : at + len(flat)] = flat
+        self.starts[self.count + 1 : self.count + 1 + len(sizes)] = at + ends
+        self.count += len(sizes)
+        return range(self.count - len(sizes), self.count)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays of these numbers end to end, and where each ends; an empty one for -1."""
+        starts = self.starts[numbers]
+        sizes = np.where(numbers < 0, 0, self.starts[numbers + 1] - starts)
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 class Words:
-    """Encodes whole texts with the tokenizers library, each distinct word once.
+    """Encodes whole texts with the tokenizers library, each distinct word or part of a word once.
 
     A byte-level tokenizer cuts before a single space between two other characters, so a text is the sequence of its
-    first word and of a space and a word each; a text with white space beside a space goes to the library whole."""
+    first word and of a space and a word each; a text with white space beside a space goes to the library whole. The words
+    of many texts are numbered at once by Arrow. A word of COMMON characters is cut further, as a byte-level tokenizer of the
+    usual pattern cuts it, so that the library gets each part once; a word of others, or for another tokenizer, goes there
+    whole."""
 
     def __init__(self, raw: bytes, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
@@ -54,27 +95,113 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
+        self.cut = isinstance(p := self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) and p.use_regex and not p.add_prefix_space and self.tokenizer.normalizer is None
+        self.line = self._ids("\n")[0]
+        self.known: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.known_ids, self.part_ids, self.known_size, self.part_size = Rows(self.kind), Rows(self.kind), 0, 0
+
+    def _forget(self) -> None:
+        """Before a slice, as numbers hold for a whole one. Words are made of parts sooner than parts by the library."""
+        if len(self.known) > CACHE_WORDS or self.known_size > CACHE_CHARACTERS:
+            self.known, self.known_ids, self.known_size = {}, Rows(self.kind), 0
+        if len(self.parts) > CACHE_WORDS or self.part_size > CACHE_CHARACTERS:
+            self.parts, self.part_ids, self.part_size = {}, Rows(self.kind), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
+    def _spaced_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that start with their only space, and how many each has: only the first of them starts with a space."""
+        ids = np.concatenate([self._ids("".join(words[i : i + AT_ONCE])) for i in range(0, len(words), AT_ONCE)])
+        cuts = np.flatnonzero(self.spaced[ids])
+        assert len(cuts) == len(words) and not cuts[0]
+        return ids, np.diff(cuts, append=len(ids))
+
+    def _learn_parts(self, new: set[str]) -> None:
+        after_space = [part for part in new if part[0] == " "]
+        white = [part for part in new if part.isspace()]
+        bare = [*new.difference(after_space, white)]
+        self.part_size += sum(map(len, new))
+        if after_space:
+            self.parts.update(zip(after_space, self.part_ids.add(*self._spaced_ids(after_space))))
+        if bare:
+            # A line break is a token of its own before anything but white space.
+            ids = self._ids("\n" + "\n".join(bare))
+            cuts = np.flatnonzero(ids == self.line)
+            assert len(cuts) == len(bare) and not cuts[0]
+            self.parts.update(zip(bare, self.part_ids.add(ids[ids != self.line], np.diff(cuts, append=len(ids)) - 1)))
+        for part in white:
+            self.parts.update(zip([part], self.part_ids.add(ids := self._ids(part), np.array([len(ids)]))))
+
+    def _learn(self, new: list[str], text: str) -> range:
+        """Numbers of words without white space at either end; ``text`` has a space before each."""
+        if not self.cut or not COMMON.fullmatch(text):
+            return self.known_ids.add(*self._spaced_ids([" " + w for w in new]))
+        parts = PART.findall(text)
+        numbers = np.fromiter(map(self.parts.get, parts, repeat(-1)), np.int64, len(parts))
+        if len(unknown := np.flatnonzero(numbers < 0)):
+            asked = [parts[i] for i in unknown.tolist()]
+            self._learn_parts(set(asked))
+            numbers[unknown] = np.fromiter(map(self.parts.__getitem__, asked), np.int64, len(asked))
+        ids, ends = self.part_ids.take(numbers)
+        # Only the first part of a word starts with a space.
+        cuts = np.flatnonzero(self.spaced[self.part_ids.flat[self.part_ids.starts[numbers]]])
+        assert len(cuts) == len(new) and not cuts[0]
+        return self.known_ids.add(ids, np.diff(ends[np.append(cuts[1:], len(parts)) - 1], prepend=0))
+
+    def _learn_all(self, new: list[str]) -> np.ndarray:
+        """Numbers of words; -1 for those at fault, which are empty or have white space at an end."""
+        text = " " + " ".join(new)
+        if COMMON.fullmatch(text) and not text[-1].isspace() and not any(edge in text for edge in EDGES):
+            groups = [(np.arange(len(new)), new, text)]
+        else:
+            groups, fit = [], [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in new]
+            common = [bool(COMMON.fullmatch(w)) for w in new]
+            for kind in (True, False):
+                if some := [i for i, (a, b) in enumerate(zip(fit, common)) if a and b == kind]:
+                    groups.append((np.array(some), words := [new[i] for i in some], " " + " ".join(words)))
+        numbers = np.full(len(new), -1)
+        for at, words, text in groups:
+            learned = self._learn(words, text)
+            self.known.update(zip(words, learned))
+            self.known_size += len(text)
+            numbers[at] = learned
+        return numbers
+
     def encode(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        new = [*set(words).difference(self.known)]
-        if not first or first[-1].isspace() or not all(new) or any(w[0].isspace() or w[-1].isspace() for w in new):
-            return self._ids(text).tobytes()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = [*set(words)]
-        if new:
-            # One call for all of them: only the first token of each word starts with a space.
-            ids = self._ids(" " + " ".join(new))
-            cuts = np.flatnonzero(self.spaced[ids])
-            assert len(cuts) == len(new) and not cuts[0]
-            ends, packed, wide = [*cuts[1:].tolist(), len(ids)], ids.tobytes(), ids.itemsize
-            self.known.update({w: packed[a * wide : b * wide] for w, a, b in zip(new, cuts.tolist(), ends)})
-        return self._ids(first).tobytes() + b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        # No word has a space in it. to_pylist takes six times as long.
+        _, ends, data = pc.binary_join_element_wise(names, *pa.array(["", " "], names.type)).buffers()
+        words = str(memoryview(data)[: np.frombuffer(ends, np.int64)[len(names)]], "utf-8").split(" ")[:-1]
+        inner = np.ones(len(codes), bool)
+        inner[at[:-1]] = False
+        used = np.zeros(len(words), bool)
+        used[codes[inner]] = True
+        self._forget()
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(used & (numbers < 0))):
+            numbers[new] = self._learn_all([words[i] for i in new.tolist()])
+        placed = numbers[codes]
+        faults = np.add.reduceat(inner & (placed < 0), at[:-1])
+        placed[~inner] = -1
+        ids, ends = self.known_ids.take(placed)
+        packed, cuts = ids.tobytes(), (ends[at[1:] - 1] * ids.itemsize).tolist()
+        made = []
+        for text, fault, code, a, b in zip(texts, faults.tolist(), codes[at[:-1]].tolist(), [0, *cuts], cuts):
+            first = words[code]
+            # A text with a word at fault goes to the library whole, as does one that starts so.
+            whole = fault or not first or first[-1].isspace()
+            made.append(self._ids(text).tobytes() if whole else self._ids(first).tobytes() + packed[a:b])
+        return made
 
 
 @functools.lru_cache(maxsize=2)
@@ -202,12 +329,12 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None =
 
         def each(given):
             nonlocal out, temporary, index, at
-            for k, value in given:
+            for (k, _), coded in zip(given, words.encode_all([value or "" for _, value in given])):
                 if out is None:
                     temporary, index, at = f"{place}/{task:06d}.{uuid.uuid4().hex}", [], len(MAGIC) + 33
                     out = own.open_output_stream(temporary)
                     out.write(MAGIC + bytes([width]) + digest)
-                data = words.encode(value or "") + tail
+                data = coded + tail
                 frame = packer.compress(data)
                 out.write(frame)
                 index.append((k is None, k or 0, at, len(frame), len(data) // width))
@@ -220,7 +347,7 @@ def write(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None =
     named = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     order = [F.col("_key").asc_nulls_first(), F.xxhash64("_text").asc()]
     dealt = named.repartitionByRange(max(1, min(TASKS, -(-rows // ROWS_PER_TASK))), *order).sortWithinPartitions(*order)
-    made = map_slices(dealt, ["_key", "_text"], "file string, documents long, ids long", make).collect()
+    made = map_slices(dealt, ["_key", "_text"], "file string, documents long, ids long", make, TEXTS_AT_ONCE).collect()
     return [(f"{folder}/{r.file}", r.documents, r.ids) for r in sorted(made)]
 
 

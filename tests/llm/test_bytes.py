@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("lodestone.llm.queries")
 import public_tokenizers as P  # noqa: E402
 import tiktoken  # noqa: E402
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 from lodestone.llm import bpe, matroska, queries, tokenfile  # noqa: E402
 
@@ -166,6 +166,26 @@ def test_token_files_of_hot_keys_and_long_texts(spark, tmp_path, monkeypatch):
     assert sorted((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in got) == want
 
 
+def test_many_texts_at_once_are_those_of_the_library(monkeypatch):
+    """Also where caches start anew, for characters of every class, and for a tokenizer that doesn't cut into parts."""
+    monkeypatch.setattr(tokenfile, "CACHE_WORDS", 300)
+    raw = open(P.path("byte_bpe_50k.json"), "rb").read()
+    library, rng = Tokenizer.from_str(raw.decode()), random.Random(11)
+    library.encode_special_tokens = True
+    usual = [chr(c) for c in [*range(33, 127), *range(0xC0, 0x250), *range(0x400, 0x482), *range(0x2010, 0x2028)]] + ["\n", "\t", "\r", "\n\n", "'ll", "'s"]
+    other = Tokenizer.from_str(raw.decode())
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    other.encode_special_tokens = True
+    for tokenizer in (library, other):
+        words = tokenfile.Words(tokenizer.to_str().encode(), 2)
+        for _ in range(200):
+            bits = rng.choice([BITS, usual, [b for b in BITS if tokenfile.COMMON.fullmatch(b)], ["a", "é", "12", "'", ",", "\n", "ª", "²", "\u0482"]])
+            texts = [rng.choice([" ", "", "\n"]).join("".join(rng.choices(bits, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 9))]
+            got = [np.frombuffer(x, "<u2").tolist() for x in words.encode_all(texts)]
+            assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.encode_all([]) == []
+
+
 def test_query_token_files(spark):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     library.encode_special_tokens = True

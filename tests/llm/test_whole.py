@@ -234,3 +234,18 @@ def test_words_of_many_texts_are_encoded_once():
     library, asked = words._ids, []
     words._ids = lambda text: asked.append(text) or library(text)
     assert [words.encode(t) for t in texts] == before and set(asked) == {"first"}
+
+
+def test_words_of_known_parts_do_not_go_to_the_library():
+    """40,000 different words of 400 parts: the library gets each part once, not each word."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from lodestone.llm import tokenfile
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        words = tokenfile.Words(f.read(), 2)
+    texts = [" ".join(["first", *(f"stem{a:c}é,\n{b:c}nd" for b in range(0x100, 0x1C8))]) for a in range(0x100, 0x1C8)]
+    library, asked = words._ids, []
+    words._ids = lambda text: asked.append(text) or library(text)
+    coded = [words.encode(t) for t in texts]
+    assert sum(map(len, asked)) < sum(map(len, texts)) / 10
+    assert coded[::20] == [library(t).tobytes() for t in texts[::20]]
